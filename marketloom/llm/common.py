@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,11 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def free(self) -> None:
+        """Lets Spark delete shuffle files of finished steps now; it does when the driver's collector finds their plans unused."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:

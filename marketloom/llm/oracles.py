@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from marketloom.llm import mixing
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_source_mixing": mixing.oracle()}
