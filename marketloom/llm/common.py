@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,16 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 256
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver has it, whatever the driver's working folder is."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +46,7 @@ class Scratch:
     """Parquet tables and files under one fresh folder of the shared folder; they cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        importable(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/loom/{name}-{uuid.uuid4().hex}"
 
