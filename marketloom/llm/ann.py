@@ -112,6 +112,35 @@ def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> lis
     return [q[keep], v[keep], s[keep]]
 
 
+def _lists(q: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    """One row a query, with its answers as two lists."""
+    starts = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, int)
+    offsets = pa.array(np.append(starts, len(q)).astype(np.int32))
+    return pa.record_batch([pa.array(q[starts]), pa.ListArray.from_arrays(offsets, pa.array(v)), pa.ListArray.from_arrays(offsets, pa.array(s))], ["query_id", "ids", "scores"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by query; the best k of all lists of a query, ranked. One slice and one query's answers are held."""
+    held: list = []
+
+    def done(found: list) -> pa.RecordBatch:
+        q, v, s = _best(found, k)
+        rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+        return pa.record_batch([pa.array(q), pa.array(rank.astype(np.int32)), pa.array(v), pa.array(s)], ["query_id", "rank", "vec_id", "score"])
+
+    for batch in slices(batches, 512):
+        sizes = np.asarray(batch.column(1).value_lengths())
+        q = np.repeat(np.asarray(batch.column(0)), sizes)
+        v, s = np.asarray(batch.column(1).flatten()), np.asarray(batch.column(2).flatten())
+        last = np.searchsorted(q, q[-1])
+        if last or held and held[-1][0][0] != q[-1]:
+            yield done([*held, (q[:last], v[:last], s[:last])])
+            held = []
+        held = [tuple(_best([*held, (q[last:], v[last:], s[last:])], k))]
+    if held:
+        yield done(held)
+
+
 def ranked(queries: np.ndarray, own: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The best k (query, id, score) of a block, and those that tie with the last up to rounding; scores are summed in one fixed order."""
     rough = queries @ block.T
@@ -131,8 +160,7 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int, four: bool, flush: int)
     kind_of = np.float32 if four else np.float64
 
     def out() -> pa.RecordBatch:
-        rows = _best(found, k)
-        return pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64())], ["query_id", "vec_id", "score"])
+        return _lists(*_best(found, k))
 
     for batch in slices(batches, 512):
         keys = np.stack([np.asarray(batch.column(c)) for c in range(5)], 1)
@@ -194,10 +222,9 @@ def nearest(
     def search(asked: DataFrame, n: int, p: int) -> DataFrame:
         both = hashed(index, n, 0, parts, 0).unionByName(hashed(asked, n, 1, parts, p))
         sorted_ = both.repartition(*group).sortWithinPartitions(*group, "kind", "id")
-        found = sorted_.mapInArrow(lambda it: _searched(it, k, four, 400_000), "query_id long, vec_id long, score double")
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = sorted_.mapInArrow(lambda it: _searched(it, k, four, 400_000), "query_id long, ids array<long>, scores array<double>")
+        by_query = found.repartition("query_id").sortWithinPartitions("query_id")
+        return by_query.mapInArrow(lambda it: _merged(it, k), "query_id long, rank int, vec_id long, score double")
 
     first = scratch.table(search(asked, tables, probes), "found")
     fewer = asked.join(first.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
