@@ -120,6 +120,11 @@ def fill_bars_frame(bars: DataFrame, frame: str, start_ms: int, end_ms: int, key
     return (fill_bars_in_place if in_place else fill_bars)(bars, 1000 * SECONDS[frame], start_ms, end_ms, keys)
 
 
+def project(rows: DataFrame, schema: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The columns of a smaller tick or bar type (a schema of types), beside the keys."""
+    return rows.select(*keys, *(c.strip().split()[0] for c in schema.split(",") if c.strip().split()[0] not in keys))
+
+
 def crop_before(rows: DataFrame, start_ms: int) -> DataFrame:
     return rows.where(F.col("time_ms") >= start_ms)
 

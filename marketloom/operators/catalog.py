@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,6 +100,24 @@ def put_changed(held: DataFrame, new: DataFrame, key: Sequence[str]) -> tuple[Da
     return erase(held, changed, key).unionByName(changed), changed
 
 
+def pack_metadata(meta: dict) -> bytes:
+    """Little-endian: flags, bounds, and each set with its size before it (symbols, exchanges, market types)."""
+    out = struct.pack("<IQQ", meta["data_flags"], meta["start_ms"], meta["end_ms"])
+    for name, form in (("symbol_ids", "H"), ("exchange_ids", "H"), ("market_types", "B")):
+        out += struct.pack(f"<I{len(meta[name])}{form}", len(meta[name]), *meta[name])
+    return out
+
+
+def unpack_metadata(data: bytes) -> dict:
+    flags, start, end = struct.unpack_from("<IQQ", data)
+    meta, at = {"data_flags": flags, "start_ms": start, "end_ms": end}, struct.calcsize("<IQQ")
+    for name, form in (("symbol_ids", "H"), ("exchange_ids", "H"), ("market_types", "B")):
+        (n,) = struct.unpack_from("<I", data, at)
+        meta[name] = list(struct.unpack_from(f"<{n}{form}", data, at + 4))
+        at += 4 + n * struct.calcsize(form)
+    return meta
+
+
 def newest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order)))
     return rows.withColumn("nth", n).where("nth = 1").drop("nth")

@@ -150,6 +150,19 @@ def run_lengths(rows: DataFrame, keys: Sequence[str], least: int = 3) -> DataFra
     return got.select(*keys, (order - 1).cast("long").alias("pos"), "value", "n")
 
 
+def value_runs(rows: DataFrame, keys: Sequence[str], value_bits: int = 32) -> DataFrame:
+    """Runs as single numbers: the value in the low bits, one less than the run's length above them. An error if a value is wider."""
+    got = runs(rows, keys)
+    fits = (F.col("value") >= 0) & (F.col("value") < (1 << value_bits)) & (F.col("n") <= 1 << (62 - value_bits))
+    code = F.shiftleft(F.col("n") - 1, value_bits).bitwiseOR(F.col("value"))
+    return got.select(*keys, "pos", F.when(fits, code).otherwise(F.raise_error(F.lit("a value is too wide")).cast("long")).alias("value"))
+
+
+def unvalue_runs(rows: DataFrame, keys: Sequence[str], value_bits: int = 32) -> DataFrame:
+    low = F.col("value").bitwiseAND(F.lit((1 << value_bits) - 1).cast("long"))
+    return _spread(rows, keys, low, F.shiftrightunsigned("value", value_bits) + 1)
+
+
 def scale_volume(rows: DataFrame, digits: int, bits: int = 64) -> DataFrame:
     """Volumes as scaled integers; with 32 bits an error beyond them."""
     v = fixedpoint.to_fixed(F.col("value"), digits)
@@ -214,12 +227,13 @@ def to_blob(rows: DataFrame, keys: Sequence[str], encoding: str) -> DataFrame:
     """keys, count, blob: each key's values, in order, in one of ENCODERS; Arrow batches, one segment a group."""
     encode = ENCODERS[encoding][0]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        return pdf[list(keys)].head(1).assign(count=len(pdf), blob=[encode(pdf["value"].to_numpy())])
+    def all_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(count=pdf["values"].map(len), blob=pdf["values"].map(lambda v: encode(np.asarray(v)))).drop(columns="values")
 
-    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c in keys)
-    return rows.groupBy(*keys).applyInPandas(one, f"{schema}, count long, blob binary")
+    schema = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in keys)
+    arrays = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("values"))
+    return arrays.select(*keys, F.col("values.value").alias("values")).mapInPandas(all_, f"{schema}, count long, blob binary")
 
 
 def from_blob(blobs: DataFrame, keys: Sequence[str], encoding: str) -> DataFrame:

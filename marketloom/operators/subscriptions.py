@@ -28,6 +28,15 @@ def timer_groups(subs: DataFrame) -> DataFrame:
     )
 
 
+def start(subs: DataFrame, at_ms: int) -> DataFrame:
+    """One START notification a listener."""
+    return checked(subs).select("listener").distinct().select("listener", F.lit("TEST_START").alias("event"), F.lit(at_ms).cast("long").alias("time_ms"))
+
+
+def unsubscribe(subs: DataFrame, gone: DataFrame, on: Sequence[str] = ("listener", "symbol_id", "provider_id")) -> DataFrame:
+    return subs.join(gone.select(*on).distinct(), [*on], "left_anti")
+
+
 def next_fire(time_ms, period_ms):
     return floor_to(time_ms, period_ms) + period_ms
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketloom import types
 from marketloom.functions import fixedpoint, flags, keys, timeframe
 from marketloom.functions import funding as pay
-from marketloom.operators import asof, bars, bitset, catalog, codec, spread, subscriptions, trading
+from marketloom.operators import asof, bars, bitset, blobs, catalog, codec, snapshot, spread, subscriptions, trading
 from marketloom.operators import funding as fund
 from marketloom.plans import views as v
 from marketloom.plans.views import DAY, END, HOUR, START, with_
@@ -427,6 +427,31 @@ def bit_pack_round_trip(spark, d):
     return codec.from_blob(codec.to_blob(rows, ["k"], "bits"), ["k"], "bits")
 
 
+@query(with_("arrays") + "SELECT k, pos, value FROM arrays")
+def value_runs_round_trip(spark, d):
+    return codec.unvalue_runs(codec.value_runs(v.arrays(spark, d), ["k"], 8), ["k"], 8)
+
+
+def _hours(spark, d):
+    t = bars.split_ticks(v.plain_ticks(spark, d))
+    zero = {c: F.lit(0.0) for c in ("ask", "bid")}
+    return t.withColumns(zero | {"received_ms": F.lit(0).cast("long")})
+
+
+@query(with_("plain_ticks") + f"SELECT symbol_id, time_ms // {HOUR} AS hour, time_ms, last, volume, flags FROM plain_ticks")
+def tick_blob_round_trip(spark, d):
+    config = types.TickCodecConfig(flags=types.TRADE_BASED | types.ENABLE_TICK_FLAGS, price_digits=2, volume_digits=0)
+    packed = blobs.serialize(_hours(spark, d), ["symbol_id", "hour"], "ticks", config)
+    return blobs.deserialize(packed, ["symbol_id", "hour"], "ticks").select("symbol_id", "hour", "time_ms", "last", "volume", "flags")
+
+
+@query(with_("bars") + f"SELECT symbol_id, time_ms // {DAY} AS segment, {BAR.split(', ', 1)[1]} FROM bars")
+def bar_blob_round_trip(spark, d):
+    rows = bars.split_bars(v.bars(spark, d), "H1")
+    packed = blobs.serialize(rows, ["symbol_id", "segment"], "bars", _config(types.STORE_RAW_BINARY))
+    return cents(blobs.deserialize(packed, ["symbol_id", "segment"], "bars"), *MONEY)
+
+
 # Keys and numbers.
 
 
@@ -617,6 +642,14 @@ def snapshot_at(spark, d):
     return bars.latest(v.plain_ticks(spark, d), at_ms=START + 15 * DAY).select("symbol_id", "last", "time_ms")
 
 
+@query(with_("plain_ticks") + f"""SELECT symbol_id % 3 AS provider_id, symbol_id, count(*) AS ticks, last(last ORDER BY time_ms, seq) AS last FROM plain_ticks
+    WHERE time_ms BETWEEN {START + 3 * DAY} AND {START + 9 * DAY} GROUP BY 1, 2""")
+def snapshot_view(spark, d):
+    t = v.plain_ticks(spark, d).withColumn("provider_id", F.col("symbol_id") % 3)
+    now = snapshot.Snapshot(t, START + 9 * DAY, START + 3 * DAY)
+    return now.counts().join(now.tick().select("provider_id", "symbol_id", "last"), ["provider_id", "symbol_id"])
+
+
 # Bit sets.
 
 

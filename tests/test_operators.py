@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom import types
-from marketloom.operators import asof, bars, bitset, catalog, codec, funding, spread, subscriptions, trading
+from marketloom.operators import asof, bars, bitset, blobs, catalog, codec, funding, snapshot, spread, subscriptions, trading
 
 HOUR = 3_600_000
 BARS = "symbol_id int, " + types.MARKET_BAR
@@ -194,3 +194,44 @@ def test_record_domains(spark):
     assert [sorted(r.invalid) for r in trading.invalid_fields(rows).collect()] == [[], ["order_type", "side"]]
     spark.createDataFrame([], types.TRADE_RESULT)
     spark.createDataFrame([], types.TRADE_REQUEST)
+
+
+def test_blobs(spark):
+    i = F.col("id")
+    ticks = spark.range(32).select(F.lit(1).alias("k"), (1_700_000_000_000 + i * 100).alias("time_ms"), F.lit(0).cast("long").alias("received_ms"), (100.25 + 0.01 * i).alias("ask"), (100.2 + 0.01 * i).alias("bid"), (100.22 + 0.01 * i).alias("last"), (i % 3 - 1.0).alias("volume"), (i % 2 * 16 + 16).alias("flags"))
+    got = blobs.deserialize(blobs.serialize(ticks, ["k"], "ticks", types.TickCodecConfig(flags=types.TICKS_RAW_BINARY)), ["k"], "ticks")
+    assert got.exceptAll(ticks.select(*got.columns)).isEmpty() and got.count() == 32
+    config = types.TickCodecConfig(flags=types.TRADE_BASED | types.ENABLE_TICK_FLAGS, price_digits=6, volume_digits=3)
+    many = ticks.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    packed = blobs.serialize(many, ["k"], "ticks", config)
+    assert {blobs.num_samples(bytes(r.blob)) for r in packed.collect()} == {32}
+    raw = blobs.serialize(many.withColumn("last", F.col("last") + F.col("k")), ["k"], "ticks", types.TickCodecConfig(flags=types.TICKS_RAW_BINARY))
+    kept = blobs.train_dictionary(raw, size=2000)
+    back = blobs.deserialize(blobs.serialize(ticks, ["k"], "ticks", config, kept), ["k"], "ticks", kept).orderBy("time_ms").collect()
+    assert [(r.time_ms, round(r.last, 6), r.volume, r.flags) for r in back] == [(r.time_ms, round(r.last, 6), r.volume, r.flags) for r in ticks.orderBy("time_ms").collect()]
+    with pytest.raises(ValueError):
+        blobs.serialize(ticks, ["k"], "ticks", types.TickCodecConfig())
+    with pytest.raises(Exception, match="signature"):
+        blobs.deserialize(spark.createDataFrame([(1, bytearray(b"\x09"))], "k int, blob binary"), ["k"], "ticks").collect()
+
+
+def test_snapshot_view(spark):
+    ticks = spark.createDataFrame([(0, 1, k, 10 * k, 1.0 * k) for k in range(6)], "provider_id int, symbol_id int, seq long, time_ms long, last double")
+    rates = spark.createDataFrame([(0, 1, 5, 0.1, 9.0), (0, 1, 30, 0.2, 8.0), (0, 1, 99, 0.3, 7.0)], "provider_id int, symbol_id int, time_ms long, funding_rate double, mark_price double")
+    s = snapshot.Snapshot(ticks, 40, 10, rates, ["X", "Y"], ["A"])
+    assert (s.tick().first().last, s.tick(1).first().last, s.counts().first().ticks, s.ticks(symbol=1, provider=0).count()) == (4.0, 3.0, 4, 4)
+    assert (s.funding().first().funding_rate, s.index("symbol", "Y"), s.name("provider", 0)) == (0.2, 1, "A")
+    with pytest.raises(KeyError):
+        s.index("symbol", "Z")
+
+
+def test_small_tools(spark):
+    meta = {"data_flags": 3, "start_ms": 5, "end_ms": 2**40, "symbol_ids": [1, 65535], "exchange_ids": [], "market_types": [7]}
+    assert catalog.unpack_metadata(catalog.pack_metadata(meta)) == meta
+    with pytest.raises(Exception):
+        catalog.unpack_metadata(catalog.pack_metadata(meta)[:-1])
+    subs = spark.createDataFrame([(1, 7, 0, 10), (1, 8, 0, 10), (2, 8, 0, 25)], "listener int, symbol_id int, provider_id int, period_ms long")
+    assert sorted(r.listener for r in subscriptions.start(subs, 5).collect()) == [1, 2]
+    assert subscriptions.unsubscribe(subs, subs.where("symbol_id = 8")).count() == 1
+    row = spark.createDataFrame([bar(1, 0, 1.0, 2.0, 0.5, 1.5)], BARS)
+    assert bars.project(row, types.OHLCV_BAR, ["symbol_id"]).columns == ["symbol_id", "time_ms", "open", "high", "low", "close", "volume"]
