@@ -169,6 +169,31 @@ def test_line_dedup_finds_what_stars_miss(spark):
     assert sum(got[i] == want[i] for i in want) >= len(want) - 1
 
 
+def shared_keys(spark, pairs):
+    """Whether the two lines of each pair share a bucket key."""
+    rows = [(2 * k + j, x) for k, pair in enumerate(pairs) for j, x in enumerate(pair)]
+    got = {r.doc_id: set(r["keys"]) for r in lines.signed_lines(docs(spark, rows), 10, 5, 80, 3, 1e-5).collect()}
+    return [bool(got[2 * k] & got[2 * k + 1]) for k in range(len(pairs))]
+
+
+def jaccard(a, b, size=5):
+    a, b = ({x[k : k + size] for k in range(len(x) - size + 1)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_line_keys_miss_no_pair_at_the_threshold(spark):
+    rnd, pairs, alphabet = random.Random(12), [], "abcdefghiklmnoprstu "
+    while len(pairs) < 3000:
+        a = "".join(rnd.choice(alphabet) for _ in range(rnd.choice([12, 20, 30, 38, 45, 60, 90, 150, 300])))
+        b = list(a + "".join(rnd.choice(alphabet) for _ in range(rnd.choice([0, 0, 1, 2, len(a) // 6]))))
+        for _ in range(rnd.choice([0, 1, 1 + len(a) // 60, 1 + len(a) // 50])):
+            b[rnd.randrange(len(b))] = "X"
+        if a != (b := "".join(b)) and 0.8 <= jaccard(a, b) < 0.86:
+            pairs.append((a, b))
+    found = shared_keys(spark, pairs)
+    assert sum(found) >= len(found) - 1  # at 1e-5 a pair, even one miss in 3,000 has a chance of 3 percent
+
+
 def test_line_dedup_odd_rows(spark):
     line = "a line that is long enough to count"
     rows = [(None, line), (1, line), (1, line), (2, f"{line}\nshort\n{line}"), (3, line)]
