@@ -194,6 +194,16 @@ def test_line_keys_miss_no_pair_at_the_threshold(spark):
     assert sum(found) >= len(found) - 1  # at 1e-5 a pair, even one miss in 3,000 has a chance of 3 percent
 
 
+def test_line_keys_join_lines_written_twice_and_lines_at_the_border(spark):
+    rnd, pairs, alphabet = random.Random(5), [], "abcdefghiklmnoprstu "
+    while len(pairs) < 1000:
+        a = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(50, 70) if len(pairs) < 600 else rnd.randint(34, 46)))
+        b = f"{a} | {a}" if len(pairs) < 600 else a + "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 9)))
+        if jaccard(a, b) >= 0.8:
+            pairs.append((a, b))
+    assert all(shared_keys(spark, pairs))
+
+
 def test_line_dedup_odd_rows(spark):
     line = "a line that is long enough to count"
     rows = [(None, line), (1, line), (1, line), (2, f"{line}\nshort\n{line}"), (3, line)]
