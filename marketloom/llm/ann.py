@@ -4,8 +4,9 @@ A table turns a vector by three rounds of random signs and a fast Hadamard trans
 result. A query probes, in each table, the buckets of the axes nearest to it. The rows and probes of a bucket meet in one group, a block
 product in double precision ranks them, and the nearest of all groups are taken by exact scores of the original vectors.
 
-Nearness is the inner product. If norms differ by over a hundredth, indexed vectors get one more coordinate that lifts all to the
-largest norm, so that the nearest axis follows the inner product and not the angle.
+Nearness is the inner product. A bucket depends on a vector's direction alone, so neither one long vector nor uneven norms change how
+much of the table is looked at; lengths count in the scores. Where norms differ by over a hundredth, half as many probes again are made, as
+long neighbours may lie further off.
 
 A bucket of many rows is split by hash into parts of about `part_rows`, each of which all its probes visit, so no group is cut and
 none outgrows a task. Of equal vectors only the k + 1 of smallest id can be in any answer; only these are indexed, which loses
@@ -45,15 +46,12 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(m)
 
 
-def axes(x: np.ndarray, lift: np.ndarray | None, table: int, seed: int) -> np.ndarray:
+def axes(x: np.ndarray, table: int, seed: int) -> np.ndarray:
     """Nearness of each row to every signed axis (2 m columns: +0, -0, +1, ...) after the table's turn."""
     n, d = x.shape
-    width = d + (lift is not None)
-    m = 1 << max(1, (width - 1).bit_length())
+    m = 1 << max(1, (d - 1).bit_length())
     y = np.zeros((n, m))
     y[:, :d] = x
-    if lift is not None:
-        y[:, d] = lift
     rng = np.random.default_rng([seed, table, m])
     for signs in rng.choice([-1.0, 1.0], (ROUNDS, m)):
         y = hadamard(y * signs)
@@ -70,7 +68,7 @@ def by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.nd
         yield d, rows, values[starts[rows][:, None] + np.arange(d)]
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], top: float | None, tables: int, probes: int, seed: int, parts: dict | None, kind: int) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch], tables: int, probes: int, seed: int, parts: dict | None, kind: int) -> Iterator[pa.RecordBatch]:
     """A row for each table (kind 0, index) or for each probe and part (kind 1, query); parts is None while buckets are counted."""
     kinds = [pa.int32()] * 5 + [pa.int64(), pa.binary()]
     names = ["dim", "tab", "bucket", "part", "kind", "id", "vector"]
@@ -78,10 +76,9 @@ def _hashed(batches: Iterator[pa.RecordBatch], top: float | None, tables: int, p
         ids = np.asarray(batch.column(0))
         for d, rows, x in by_dimension(batch):
             wide = x.astype(np.float64)
-            lift = None if top is None else np.zeros(len(x)) if kind else np.sqrt(np.maximum(0.0, top * top - (wide * wide).sum(1)))
             packed = [v.tobytes() for v in x]
             for t in range(tables):
-                near = axes(wide, lift, t, seed)
+                near = axes(wide, t, seed)
                 if kind == 0:
                     buckets = near.argmax(1)
                     part = np.zeros(len(x), int) if parts is None else (ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(int) % np.array([parts[d, t, b] for b in buckets.tolist()])
@@ -210,10 +207,11 @@ def nearest(
     asked = scratch.table(valid(table if queries is None else queries).groupBy("id").agg(F.min("vector").alias("vector")), "asked")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     span = index.agg(F.min(norm).alias("low"), F.max(norm).alias("high"), F.approx_count_distinct("id", 0.02).alias("n")).first()
-    top = span.high if span.high and span.high > 1.01 * span.low else None
+    if span.high and span.high > 1.01 * span.low:
+        probes += probes // 2
     if (span.n or 0) <= 128 * k:
         probes = 1 << 30  # so few rows that every bucket is looked at
-    hashed = lambda df, n, kind, parts, p: df.mapInArrow(lambda it: _hashed(it, top, n, p, seed, parts, kind), GROUPED)
+    hashed = lambda df, n, kind, parts, p: df.mapInArrow(lambda it: _hashed(it, n, p, seed, parts, kind), GROUPED)
     # One row a table and signed axis: a few thousand.
     sizes = hashed(index, tables, 0, None, 0).groupBy("dim", "tab", "bucket").count().collect()
     parts = {(r["dim"], r["tab"], r["bucket"]): -(-r["count"] // part_rows) for r in sizes}

@@ -113,6 +113,23 @@ def test_lengths_count_for_the_inner_product(spark):
     assert sum(len(got[q] & {v for _, v in want[q]}) for q in want) >= 0.9 * 20 * len(want)
 
 
+@pytest.mark.parametrize("norms", ["one", "uniform", "log-normal"])
+def test_recall_with_uneven_norms_at_full_width(spark, norms):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if norms == "one":
+        x[-1] *= 3
+    else:
+        x *= (rnd.uniform(0.5, 1.5, 3000) if norms == "uniform" else np.exp(0.3 * rnd.normal(size=3000)))[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, df.where("vec_id % 15 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    want = exact(list(enumerate(x)), [(q, x[q]) for q in range(0, 3000, 15)], 20)
+    assert sum(len(got[q] & {v for _, v in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
 def test_hadamard_is_orthonormal():
     m = ann.hadamard(np.eye(16))
     assert np.allclose(m @ m.T, np.eye(16)) and np.allclose(ann.hadamard(m), np.eye(16))
