@@ -13,7 +13,8 @@ none outgrows a task. Of equal vectors only the k + 1 of smallest id can be in a
 nothing. Queries with fewer than k answers, where more exist, search again with every bucket of one table, which is exact.
 
 The default of six tables and sixteen probes suits vectors without clusters, where a neighbour is barely nearer than the rest: it
-looks at about half of all rows. Clustered vectors need far fewer probes.
+looks at about half of all rows. Clustered vectors need far fewer probes. Up to about 128 k indexed rows (2,560 by default) every bucket is
+looked at, and the answer is exact; beyond that it is not.
 
 Defined cases: vectors null, empty, zero, or with null or non-finite components take no part; vectors of different dimensions are never
 compared; ties go to the smaller id; rows of one id are one candidate, with its best score; repeated query ids search as the first of
