@@ -172,7 +172,9 @@ def test_line_dedup_finds_what_stars_miss(spark):
 def shared_keys(spark, pairs):
     """Whether the two lines of each pair share a bucket key."""
     rows = [(2 * k + j, x) for k, pair in enumerate(pairs) for j, x in enumerate(pair)]
-    got = {r.doc_id: set(r["keys"]) for r in lines.signed_lines(docs(spark, rows), 10, 5, 80, 3, 1e-5).collect()}
+    df = docs(spark, rows)
+    signed = lines.lines_of(df, 10).select("doc_id", "node").join(lines.signed_lines(df, 10, 5), "node")
+    got = {r.doc_id: set(r["keys"]) for r in signed.collect()}
     return [bool(got[2 * k] & got[2 * k + 1]) for k in range(len(pairs))]
 
 
@@ -207,13 +209,23 @@ def test_line_keys_join_lines_written_twice_and_lines_at_the_border(spark):
 def test_line_dedup_odd_rows(spark):
     line = "a line that is long enough to count"
     rows = [(None, line), (1, line), (1, line), (2, f"{line}\nshort\n{line}"), (3, line)]
-    df = docs(spark, rows).withColumn("gone", F.lit(1)).withColumn("node", F.lit(2)).withColumn("document", F.lit(3)).drop("document")
-    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_kept) for r in lines.dedup_lines(df.drop("gone")).collect()), key=repr)
+    df = docs(spark, rows).withColumns({c: F.lit(k) for k, c in enumerate(["gone", "node", "document", "row", "version", "n_lines", "n_kept", "lost"])})
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_kept) for r in lines.dedup_lines(df).collect()), key=repr)
     assert got == sorted([(None, line, 1, 1), (1, line, 1, 1), (1, line, 1, 1), (2, "short", 3, 1), (3, "", 1, 0)], key=repr)
-    assert sorted((r.doc_id is None, r.doc_id) for r in lines.keep_first_lines(df.drop("gone")).select("doc_id").collect() if r.doc_id) == [(False, 1), (False, 1), (False, 2)]
+    assert sorted((r.doc_id is None, r.doc_id) for r in lines.keep_first_lines(df).select("doc_id").collect() if r.doc_id) == [(False, 1), (False, 1), (False, 2)]
+    kept = lines.keep_first_lines(df)
+    assert kept.columns == df.columns and {(r.gone, r.n_lines, r.n_kept) for r in kept.collect()} == {(0, 5, 6)}
     assert lines.dedup_lines(docs(spark, []).where("false")).count() == 0
 
 
+def test_line_dedup_keeps_lines_of_other_texts_of_one_id(spark):
+    one, other = "the first line, which stands once only", "another line, which both texts have"
+    rows = [(7, f"{one}\n{other}"), (7, f"{other}\n{other}\nand a line of the second text alone"), (7, "12345 67890 abcde fghij klmno")]
+    texts = [r.text for r in lines.dedup_lines(docs(spark, rows)).collect()]
+    held = "\n".join(texts).split("\n")
+    assert sorted(held) == sorted([one, other, "and a line of the second text alone", rows[2][1]])
+
+
 def test_quality_learns_without_negatives(spark):
     root = "/root/testdata/sf0.1"
     documents = spark.read.parquet(f"{root}/documents.parquet").withColumn("score", F.lit("clash"))
