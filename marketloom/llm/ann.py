@@ -5,17 +5,17 @@ result. A query probes, in each table, the buckets of the axes nearest to it. Th
 product in double precision ranks them, and the nearest of all groups are taken by exact scores of the original vectors.
 
 Nearness is the inner product. A bucket depends on a vector's direction alone, so neither one long vector nor uneven norms change how
-much of the table is looked at; lengths count in the scores. Where norms differ by over a hundredth, half as many probes again are made, as
-long neighbours may lie further off.
+much of the table is looked at; lengths count in the scores.
+
+How many buckets a query probes is measured: the true neighbours of `sample` queries, found by brute force against every row, tell how
+many probes reach the share `recall` of them. Clustered vectors need few; where a neighbour is barely nearer than the rest, as in
+vectors without clusters, it takes about half of all rows. Where one axis would have over `part_rows` rows in the mean, a bucket is the pair of axes of two turns, so the number of buckets grows with the
+table. Both hold at every size: no table is searched in another way for being small.
 
 A bucket of many rows is split by hash into parts of about `part_rows`, each of which all its probes visit, so no group is cut and
 none outgrows a task. Of equal vectors only the k + 1 of smallest id can be in any answer; only these are indexed, which loses
 nothing. Queries with fewer than k answers, where more exist, search again with every bucket of one table, which is exact.
 
-The default of six tables and sixteen probes suits vectors without clusters, where a neighbour is barely nearer than the rest: it
-looks at about half of all rows. Clustered vectors need far fewer probes. Up to about 128 k indexed rows (2,560 by default) every bucket is
-looked at, and the answer is exact; beyond that it is not.
-
 Defined cases: vectors null, empty, zero, or with null or non-finite components take no part; vectors of different dimensions are never
 compared; ties go to the smaller id; rows of one id are one candidate, with its best score; repeated query ids search as the first of
 their vectors in array order; a null id takes no part; an empty table gives no rows; other columns are ignored.
@@ -59,6 +59,19 @@ def axes(x: np.ndarray, table: int, seed: int) -> np.ndarray:
     return np.stack((y, -y), 2).reshape(n, 2 * m)
 
 
+def nearness(x: np.ndarray, table: int, seed: int, hashes: int) -> np.ndarray:
+    """Nearness of each row to every bucket of the table: to each axis, or to each pair of axes of two turns."""
+    if hashes == 1:
+        return axes(x, table, seed)
+    one, two = axes(x, table, seed), axes(x, table, seed + 1)
+    return (one[:, :, None] + two[:, None, :]).reshape(len(x), -1)
+
+
+def bucket_of(x: np.ndarray, table: int, seed: int, hashes: int) -> np.ndarray:
+    one = axes(x, table, seed)
+    return one.argmax(1) if hashes == 1 else one.argmax(1) * one.shape[1] + axes(x, table, seed + 1).argmax(1)
+
+
 def by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(dimension, row numbers, matrix) of a batch whose second column holds lists without nulls."""
     lists = batch.column(1)
@@ -69,22 +82,22 @@ def by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.nd
         yield d, rows, values[starts[rows][:, None] + np.arange(d)]
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], tables: int, probes: int, seed: int, parts: dict | None, kind: int) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch], tables: int, probes: int, seed: int, parts: dict | None, kind: int, hashes: int) -> Iterator[pa.RecordBatch]:
     """A row for each table (kind 0, index) or for each probe and part (kind 1, query); parts is None while buckets are counted."""
     kinds = [pa.int32()] * 5 + [pa.int64(), pa.binary()]
     names = ["dim", "tab", "bucket", "part", "kind", "id", "vector"]
-    for batch in slices(batches, 1024):
+    for batch in slices(batches, 1024 if hashes == 1 or kind == 0 else 64):
         ids = np.asarray(batch.column(0))
         for d, rows, x in by_dimension(batch):
             wide = x.astype(np.float64)
             packed = [v.tobytes() for v in x]
             for t in range(tables):
-                near = axes(wide, t, seed)
                 if kind == 0:
-                    buckets = near.argmax(1)
+                    buckets = bucket_of(wide, t, seed, hashes)
                     part = np.zeros(len(x), int) if parts is None else (ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(int) % np.array([parts[d, t, b] for b in buckets.tolist()])
                     which = np.arange(len(x))
                 else:
+                    near = nearness(wide, t, seed, hashes)
                     take = min(probes, near.shape[1])
                     found = np.argpartition(-near, take - 1, axis=1)[:, :take] if take < near.shape[1] else np.tile(np.arange(take), (len(x), 1))
                     hits = [(i, b, p) for i, line in enumerate(found.tolist()) for b in line for p in range(parts.get((d, t, b), 0))]
@@ -187,11 +200,47 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int, four: bool, flush: int)
         yield out()
 
 
+def _scanned(batches: Iterator[pa.RecordBatch], asked: dict, k: int) -> Iterator[pa.RecordBatch]:
+    """The best k of each slice's rows for each of the few queries of `asked`, by dimension."""
+    for batch in slices(batches, 4096):
+        ids = np.asarray(batch.column(0))
+        for d, rows, x in by_dimension(batch):
+            if d in asked:
+                own, queries = asked[d]
+                yield _lists(*_best([ranked(queries, own, x.astype(np.float64), ids[rows], k)], k))
+
+
+def measured_probes(index: DataFrame, asked: DataFrame, k: int, tables: int, seed: int, hashes: int, sample: int, recall: float) -> int:
+    """The least number of probes a table that reaches that share of the true neighbours of `sample` queries, those of the smallest hashes of their ids."""
+    some = asked.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    by = {d: [r for r in some if len(r["vector"]) == d] for d in {len(r["vector"]) for r in some}}
+    by = {d: (np.array([r["id"] for r in rows]), np.array([r["vector"] for r in rows], np.float64)) for d, rows in by.items()}
+    scanned = index.mapInArrow(lambda it: _scanned(it, by, k), "query_id long, ids array<long>, scores array<double>")
+    merged = scanned.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lambda it: _merged(it, k), "query_id long, rank int, vec_id long, score double")
+    true = merged.join(index, F.col("vec_id") == F.col("id")).select("query_id", "vector").collect()  # sample * k, but for ids of several vectors
+    need = []
+    for d, (own, queries) in by.items():
+        place = {q: i for i, q in enumerate(own.tolist())}
+        pairs = [(place[r["query_id"]], r["vector"]) for r in true if r["query_id"] in place and len(r["vector"]) == d]
+        if pairs:
+            q, least = np.array([i for i, _ in pairs]), None
+            for t in range(tables):
+                near = nearness(queries, t, seed, hashes)
+                at = bucket_of(np.array([v for _, v in pairs], np.float64), t, seed, hashes)
+                before = np.array([(near[i] > near[i, b]).sum() for i, b in zip(q, at)])
+                least = before if least is None else np.minimum(least, before)
+            need += least.tolist()
+    return 1 + int(np.sort(need)[min(len(need) - 1, int(np.ceil(recall * len(need))))]) if need else 1
+
+
 def nearest(
-    table: DataFrame, queries: DataFrame | None = None, k: int = 20, tables: int = 6, probes: int = 16, part_rows: int = 8192, seed: int = 7,
-    id_col: str = "vec_id", vector_col: str = "embedding",
+    table: DataFrame, queries: DataFrame | None = None, k: int = 20, tables: int = 6, probes: int | None = None, part_rows: int = 8192, seed: int = 7,
+    id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 64, recall: float = 0.96, hashes: int | None = None,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query; queries: rows of the same form, by default all of the table."""
+    """query_id, rank, vec_id, score: the k nearest found of each query; queries: rows of the same form, by default all of the table.
+
+    probes and hashes, where given, take the place of what is measured; more probes than there are buckets make the search exact.
+    """
     spark = table.sparkSession
     scratch = Scratch(spark, "ann")
     four = "float" in dict(table.dtypes)[vector_col]
@@ -202,32 +251,32 @@ def nearest(
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
         return rows.where("id IS NOT NULL AND vector IS NOT NULL").where(good & F.exists(v, lambda x: x != 0))
 
-    rows = valid(table)
+    rows = valid(table).distinct()  # a repeated row takes no other's place among its twins
     twin = Window.partitionBy("vector").orderBy("id")
     index = scratch.table(rows.withColumn("twin", F.row_number().over(twin)).where(F.col("twin") <= k + 1).drop("twin"), "index")
     asked = scratch.table(valid(table if queries is None else queries).groupBy("id").agg(F.min("vector").alias("vector")), "asked")
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    span = index.agg(F.min(norm).alias("low"), F.max(norm).alias("high"), F.approx_count_distinct("id", 0.02).alias("n")).first()
-    if span.high and span.high > 1.01 * span.low:
-        probes += probes // 2
-    if (span.n or 0) <= 128 * k:
-        probes = 1 << 30  # so few rows that every bucket is looked at
-    hashed = lambda df, n, kind, parts, p: df.mapInArrow(lambda it: _hashed(it, n, p, seed, parts, kind), GROUPED)
-    # One row a table and signed axis: a few thousand.
-    sizes = hashed(index, tables, 0, None, 0).groupBy("dim", "tab", "bucket").count().collect()
-    parts = {(r["dim"], r["tab"], r["bucket"]): -(-r["count"] // part_rows) for r in sizes}
+    if hashes is None:
+        most = index.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+        buckets = 2 << max(1, ((most["d"] or 1) - 1).bit_length())
+        hashes = 2 if most["n"] > buckets * part_rows and buckets <= 256 else 1
+    if probes is None:
+        probes = measured_probes(index, asked, k, tables, seed, hashes, sample, recall)
+    hashed = lambda df, n, kind, parts, p, h: df.mapInArrow(lambda it: _hashed(it, n, p, seed, parts, kind, h), GROUPED)
     group = ["dim", "tab", "bucket", "part"]
 
-    def search(asked: DataFrame, n: int, p: int) -> DataFrame:
-        both = hashed(index, n, 0, parts, 0).unionByName(hashed(asked, n, 1, parts, p))
+    def search(asked: DataFrame, n: int, p: int, h: int) -> DataFrame:
+        # One row a table and bucket: a few thousand, or half a million where buckets are pairs.
+        sizes = hashed(index, n, 0, None, 0, h).groupBy("dim", "tab", "bucket").count().collect()
+        parts = {(r["dim"], r["tab"], r["bucket"]): -(-r["count"] // part_rows) for r in sizes}
+        both = hashed(index, n, 0, parts, 0, h).unionByName(hashed(asked, n, 1, parts, p, h))
         sorted_ = both.repartition(*group).sortWithinPartitions(*group, "kind", "id")
         found = sorted_.mapInArrow(lambda it: _searched(it, k, four, 400_000), "query_id long, ids array<long>, scores array<double>")
         by_query = found.repartition("query_id").sortWithinPartitions("query_id")
         return by_query.mapInArrow(lambda it: _merged(it, k), "query_id long, rank int, vec_id long, score double")
 
-    first = scratch.table(search(asked, tables, probes), "found")
+    first = scratch.table(search(asked, tables, probes, hashes), "found")
     fewer = asked.join(first.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
-    if probes >= 1 << 30 or fewer.isEmpty():
+    if fewer.isEmpty():
         return first
-    again = scratch.table(search(scratch.table(fewer, "fewer"), 1, 1 << 30), "again")
+    again = scratch.table(search(scratch.table(fewer, "fewer"), 1, 1 << 30, 1), "again")
     return first.join(again.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)

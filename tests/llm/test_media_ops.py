@@ -84,14 +84,14 @@ def test_search_recall_on_vectors_without_clusters(spark):
         assert [(-r.score, r.vec_id) for r in found] == sorted((-r.score, r.vec_id) for r in found)
 
 
-def test_search_is_exact_on_few_or_odd_rows(spark):
+def test_search_of_all_buckets_is_exact_on_odd_rows(spark):
     rnd = np.random.default_rng(1)
     rows = [(k, rnd.normal(size=5).tolist()) for k in range(60)] + [(k, [1.0, 2.0, 3.0, 4.0, 5.0]) for k in range(100, 160)]
     rows += [(k, rnd.normal(size=3).tolist()) for k in range(200, 210)]
     bad = [(300, None), (301, [0.0] * 5), (302, [float("nan")] * 5), (303, [float("inf"), 1.0, 1.0, 1.0, 1.0]), (304, []), (None, [1.0] * 5), (305, [None, 1.0, 1.0, 1.0, 1.0])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumn("bucket", F.lit("clash"))
     got = defaultdict(list)
-    for r in ann.nearest(df, k=20).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, k=20, probes=1 << 30).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     want = exact(rows, rows, 20)
     assert set(got) == set(want)
@@ -102,6 +102,36 @@ def test_search_is_exact_on_few_or_odd_rows(spark):
     assert ann.nearest(df.where("false")).count() == 0
 
 
+def test_repeated_rows_take_no_ones_place(spark):
+    rows = [(1, [1.0, 2.0])] * 30 + [(k, [1.0, 2.0]) for k in range(2, 12)] + [(1, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): r.vec_id for r in ann.nearest(df, k=20).collect()}
+    want = {(q, rank): v for q in range(1, 12) for rank, v in enumerate([v for v in range(1, 12) if v != q], 1)}
+    assert got == want
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_vectors(spark, scale):
+    df = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r.vec_id, np.array(r.embedding)) for r in df.collect()]
+    want = exact(rows, [(q, x) for q, x in rows if q % 20 == 0], 20)
+    got = defaultdict(set)
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    assert sum(len(got[q] & {v for _, v in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_pairs_of_axes(spark):
+    rnd = np.random.default_rng(8)
+    x = np.repeat(rnd.normal(size=(60, 16)), 50, 0) + 0.1 * rnd.normal(size=(3000, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, df.where("vec_id % 30 = 0"), hashes=2).collect():
+        got[r.query_id].add(r.vec_id)
+    want = exact(list(enumerate(x)), [(q, x[q]) for q in range(0, 3000, 30)], 20)
+    assert sum(len(got[q] & {v for _, v in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
 def test_lengths_count_for_the_inner_product(spark):
     rnd = np.random.default_rng(2)
     x = rnd.normal(size=(4000, 16)) * rnd.uniform(0.5, 2, (4000, 1))
