@@ -34,7 +34,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    out = mixing.mix(read_table(spark, sf_dir, "documents"), public_path(BPE), keep=["doc_id", "source", "lang"])
     return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "selected")
 
 

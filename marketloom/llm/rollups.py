@@ -1,7 +1,7 @@
 """Delta-maintained token counts (operator 7).
 
 A ledger keeps additive totals of documents and tokens by source, language and tokenizer version. A batch of inserts, deletes and revised
-counts becomes signed rows, summed by key, and is written to a folder of its own, which one rename puts in place under the batch's
+counts becomes signed rows, summed by key, and is written to a folder of its own, which one rename, which fails where something is, puts in place under the batch's
 id. A batch whose id is there already changes nothing, so a driver may send it again after any failure; a reader sees whole batches
 only. `fold` writes the sum of what is committed as one snapshot, with the ids it covers, so totals stay cheap after many batches.
 
@@ -15,8 +15,10 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +56,20 @@ class Ledger:
         return sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/{folder}")))
 
     def _place(self, staged: str, final: str) -> bool:
-        """Renames a finished folder into place unless something is there; says whether it did."""
-        done = not self._fs.exists(self._path(final)) and self._fs.rename(self._path(staged), self._path(final))
-        self._fs.delete(self._path(f"{final}/{staged.rsplit('/', 1)[-1]}"), True)  # a rename onto a folder that came meanwhile lands inside it
-        self._fs.delete(self._path(staged), True)
-        return done
+        """Renames a finished folder into place; the file system refuses where something is there. Says whether it did."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.makeQualified(self._path(self.root)).toUri(), conf)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.NONE
+        try:
+            context.rename(self._path(staged), self._path(final), options)
+            return True
+        except Py4JJavaError:
+            if not self._fs.exists(self._path(final)):
+                raise
+            self._fs.delete(self._path(staged), True)
+            return False
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """deltas: source, lang, version, docs, tokens, signed. False if the batch is there already, and then nothing is computed."""
@@ -78,20 +89,28 @@ class Ledger:
         covered = self.spark.read.text(f"{place}/covered").first()[0]
         return f"{place}/totals", set(json.loads(covered))
 
-    def totals(self) -> DataFrame:
+    def _listed(self) -> tuple[list[str], str | None, set[str]]:
+        """Batches that no snapshot covers, the newest snapshot's totals, and the ids it covers; of one moment, as batches are listed first."""
+        batches = self._names("batches")
         place, covered = self._snapshot()
-        paths = [f"{self.root}/batches/{b}" for b in self._names("batches") if b not in covered] + ([place] if place else [])
+        return [b for b in batches if b not in covered], place, covered
+
+    def _sums(self, batches: list[str], place: str | None) -> DataFrame:
+        paths = [f"{self.root}/batches/{b}" for b in batches] + ([place] if place else [])
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*paths)
         return rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        batches, place, _ = self._listed()
+        return self._sums(batches, place)
+
     def fold(self) -> None:
-        """Writes a snapshot of all that is committed; the batches it covers are deleted after it is in place."""
-        _, covered = self._snapshot()
-        batches = self._names("batches")
+        """Writes a snapshot of all that is committed when it begins; the batches it covers are deleted after it is in place."""
+        batches, place, covered = self._listed()
         staged, n = f"{self.root}/staged/{uuid.uuid4().hex}", len(self._names("snapshots"))
-        self.totals().coalesce(1).write.parquet(f"{staged}/totals")
+        self._sums(batches, place).coalesce(1).write.parquet(f"{staged}/totals")
         self.spark.createDataFrame([(json.dumps(sorted(covered | set(batches))),)], "value string").coalesce(1).write.text(f"{staged}/covered")
         if self._place(staged, f"{self.root}/snapshots/{n:012d}"):
             for b in batches:
@@ -117,12 +136,13 @@ def corpus_rollup(docs: DataFrame, tokenizer: str, version: str) -> DataFrame:
     """A corpus' life in four batches, one of them sent twice: source, lang, version, docs, tokens.
 
     load: all documents under `version` and under words-1, which counts 4 tokens to 3 words. revise: words-1 is put right to one token a word.
-    withdraw: of documents of equal text all but the one of smallest id go, from both. load again: no change.
+    withdraw: of documents of equal text one stays, that of the smallest id, null ids last, ties by source and language; it is all withdrawn and
+    the survivors put back, so no text's copies meet in a join. load again: no change.
     """
     scratch = Scratch(docs.sparkSession, "rollups")
     counted = scratch.table(count_tokens(docs, tokenizer), "counted")
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = counted.join(first, "digest").where("doc_id IS NULL OR doc_id > first")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), *(F.col(c) for c in ("doc_id", "source", "lang", "bpe", "words")))
+    stay = counted.groupBy("digest").agg(F.min(order).alias("one")).select("one.*")
     none, guess = F.lit(None).cast("long"), F.floor(F.col("words") * 4 / 3).cast("long")
 
     def feed(rows: DataFrame, op: str, name: str, tokens, old=none) -> DataFrame:
@@ -133,7 +153,9 @@ def corpus_rollup(docs: DataFrame, tokenizer: str, version: str) -> DataFrame:
     load = signed(feed(counted, "insert", version, F.col("bpe")).unionByName(feed(counted, "insert", "words-1", guess)))
     ledger.commit("load", load)
     ledger.commit("revise", signed(feed(counted, "revise", "words-1", F.col("words"), guess)))
-    ledger.commit("withdraw", signed(feed(copies, "delete", version, F.col("bpe")).unionByName(feed(copies, "delete", "words-1", F.col("words")))))
+    both = [(version, F.col("bpe")), ("words-1", F.col("words"))]
+    changes = [feed(rows, op, name, n) for rows, op in ((counted, "delete"), (stay, "insert")) for name, n in both]
+    ledger.commit("withdraw", signed(reduce(DataFrame.unionByName, changes)))
     ledger.commit("load", load)
     ledger.fold()
     return ledger.totals()

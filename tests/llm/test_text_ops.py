@@ -1,5 +1,6 @@
 """Near-duplicates, line dedup, quality, mixing, packing and rollups against brute force and held-out labels."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -239,6 +240,40 @@ def test_quality_learns_without_negatives(spark):
     assert np.mean([r.predicted == 0 for r in bad]) > 0.9
 
 
+def test_quality_prior_needs_no_negatives(spark):
+    root = "/root/testdata/sf0.1"
+    documents, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    share = labels.where("quality IS NOT NULL").agg(F.avg("quality")).first()[0]
+    _, prior = quality.train(documents, labels.where("quality = 1"))
+    assert prior == pytest.approx(share, abs=0.06)
+    rnd = np.random.default_rng(0)
+    good, bad = rnd.normal(2, 1, (4000, 3)), rnd.normal(-2, 1, (4000, 3))
+    for wanted in (0.2, 0.5, 0.8):
+        mixed = np.vstack([good[2000 : 2000 + int(2000 * wanted)], bad[: 2000 - int(2000 * wanted)]])
+        assert quality.estimated_prior(good[:2000], rnd.permutation(mixed)) == pytest.approx(wanted, abs=0.07)
+
+
+def test_quality_slopes_are_those_of_the_risk():
+    rnd = np.random.default_rng(5)
+    p, u, w, b = rnd.normal(1, 1, (30, 4)), rnd.normal(0, 1, (50, 4)), rnd.normal(size=4), 0.3
+    log1 = lambda z: np.log1p(np.exp(z))
+
+    def bracket(x, prior):
+        return log1(u @ x[:-1] + x[-1]).mean() - prior * log1(p @ x[:-1] + x[-1]).mean()
+
+    for prior in (0.1, 0.9):
+        whole = lambda x: prior * log1(-(p @ x[:-1] + x[-1])).mean() + bracket(x, prior)
+        x = np.append(w, b)
+        risk = whole if bracket(x, prior) >= 0 else lambda y: -bracket(y, prior)
+        for k in range(5):
+            e = np.eye(5)[k] * 1e-6
+            assert quality.slopes(p, u, prior, w, b)[k] == pytest.approx((risk(x + e) - risk(x - e)) / 2e-6, abs=1e-5)
+    least = quality.fit(p, u, 0.4)
+    z = [np.clip((x - least.mean) / least.scale, -6, 6) @ least.weights + least.bias for x in (p, u)]
+    total = lambda a, c: 0.4 * log1(-a).mean() + max(0, log1(c).mean() - 0.4 * log1(a).mean())
+    assert total(*z) < total(np.zeros(30), np.zeros(50))
+
+
 def test_quality_odd_rows(spark):
     rows = docs(spark, [(1, None), (2, ""), (None, "some text"), (2, ""), (3, "x" * 200_000)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -261,21 +296,66 @@ def test_raking_meets_its_targets():
     assert (x <= tokens).all()
 
 
-def test_mixing_draws_by_probability(spark):
-    rows = [(k, "an " * (5 + k % 7)) for k in range(3000)]
-    df = docs(spark, rows).withColumn("source", F.when(F.col("doc_id") % 10 == 0, "rare").otherwise("common")).withColumn("selected", F.lit("clash"))
-    out = mixing.mix(df, share=0.4).collect()
-    p = defaultdict(list)
+def test_mixing_against_a_literal_model(spark):
+    from tokenizers import Tokenizer
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = mixing.mix(df, BPE, rounds=10, keep=["doc_id", "source", "lang"]).collect()
+    t, n = Tokenizer.from_file(BPE), Counter()
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
     for r in out:
-        p[r.source].append((r.probability, r.selected))
-    assert p["rare"][0][0] > p["common"][0][0]
-    for v in p.values():
-        assert np.mean([s for _, s in v]) == pytest.approx(v[0][0], abs=0.06)
-    odd = docs(spark, [(None, None), (1, ""), (1, "")]).withColumn("lang", F.lit(None).cast("string"))
-    assert len(mixing.mix(odd).collect()) == 3 and mixing.mix(odd.where("false")).count() == 0
-    assert mixing.keep_mixed(odd).columns == odd.columns
-    with pytest.raises(ValueError):
-        mixing.mix(df, most_cells=1)
+        assert r.tokens == max(1, len(t.encode(texts[r.doc_id], add_special_tokens=False).ids))
+        n[r.source, r.lang, r.topic] += r.tokens
+    assert len({r.topic for r in out}) == 8 and len(out) == len(texts)
+    x, all_ = {c: v * 0.5 for c, v in n.items()}, sum(n.values())
+    for _ in range(10):
+        for k, power in enumerate((0.7, 0.5, 0.5)):
+            own = Counter()
+            for c, v in n.items():
+                own[c[k]] += v / all_
+            goal = {v: w**power for v, w in own.items()}
+            now = Counter()
+            for c, v in x.items():
+                now[c[k]] += v
+            x = {c: v * all_ * 0.5 * goal[c[k]] / sum(goal.values()) / now[c[k]] if now[c[k]] else 0 for c, v in x.items()}
+        x = {c: min(v, n[c]) for c, v in x.items()}
+    for r in out:
+        c = r.source, r.lang, r.topic
+        assert r.probability == pytest.approx(x[c] / n[c], rel=1e-9)
+        u = int(hashlib.md5(f"mix:{r.doc_id}".encode()).hexdigest()[:8], 16) / 2**32
+        assert r.selected == (u < r.probability)
+    table = {r.doc_id: r.probability for r in mixing.mix(df, BPE, rounds=10, most_cells=0, keep=["doc_id"]).collect()}
+    assert all(table[r.doc_id] == pytest.approx(r.probability, rel=1e-9) for r in out)
+
+
+def test_mixing_meets_its_marginals(spark):
+    rnd = random.Random(3)
+    words = ["alpha beta gamma ", "uno dos tres ", "x1 y2 z3 ", "der die das "]
+    rows = [(k, words[k % 4] * rnd.randint(5, 12)) for k in range(3000)]
+    df = docs(spark, rows).withColumn("source", F.when(F.col("doc_id") % 10 == 0, "rare").otherwise("common"))
+    targets = {"source": {"rare": 0.15, "common": 0.85}}
+    out = mixing.mix(df, BPE, share=0.4, targets=targets, topics=4)
+    got = {(r.dimension, r.category): r for r in mixing.residuals(out, 0.4, targets).collect()}
+    assert got["source", "rare"].target == pytest.approx(0.15)
+    for r in got.values():
+        assert r.expected == pytest.approx(r.target, abs=0.002) and r.drawn == pytest.approx(r.target, abs=0.03)
+    by = defaultdict(set)
+    for r in out.collect():
+        by[r.doc_id % 4].add(r.topic)
+    assert [len(v) for v in by.values()] == [1] * 4 and len(set.union(*by.values())) == 4
+
+
+def test_mixing_odd_rows(spark):
+    clash = ["cell", "cell_source", "cell_lang", "cell_topic", "row", "topic", "tokens", "selected", "probability", "profile", "of"]
+    odd = docs(spark, [(None, None), (1, ""), (1, ""), (2, "word " * 300_000)]).withColumn("lang", F.lit(None).cast("string"))
+    odd = odd.withColumns({c: F.lit(k) for k, c in enumerate(clash)})
+    got = mixing.mix(odd, BPE).collect()
+    assert sorted(r.tokens for r in got)[:3] == [1, 1, 1] and len(got) == 4 and mixing.mix(odd.where("false"), BPE).count() == 0
+    assert [r.tokens for r in got if r.doc_id == 2][0] >= 300_000
+    for kept in (mixing.keep_mixed(odd, BPE, share=1.0), mixing.keep_mixed(odd, BPE, share=1.0, most_cells=0)):
+        assert kept.columns == odd.columns
+        assert {(r.cell_source, r.topic, r.probability) for r in kept.collect()} <= {(1, 5, 8)}
+    assert mixing.keep_mixed(odd.where("doc_id IS NULL"), BPE).count() in (0, 1)
 
 
 def test_tokens_equal_the_tokenizer():
@@ -367,6 +447,34 @@ def test_rollups_are_idempotent_and_additive(spark, tmp_path):
         ledger.commit("bad", rollups.signed(one.withColumn("op", F.lit("?"))))
 
 
+def test_a_batch_that_comes_during_a_fold_counts_once(spark, tmp_path):
+    ledger = rollups.Ledger(spark, f"file://{tmp_path}/ledger")
+    row = spark.createDataFrame([("a", "en", "v", 1, 10)], rollups.SCHEMA)
+    assert ledger.commit("one", row)
+    sums = ledger._sums
+
+    def late(*args):
+        assert ledger.commit("two", row)
+        return sums(*args)
+
+    ledger._sums = late
+    ledger.fold()
+    ledger._sums = sums
+    assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "v", 2, 20)]
+    staged = f"{ledger.root}/staged/late"
+    row.write.parquet(staged)
+    assert not ledger._place(staged, f"{ledger.root}/batches/two")
+    assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "v", 2, 20)]
+
+
+def test_corpus_rollup_keeps_one_of_each_text(spark):
+    rows = docs(spark, [(None, "only null ids"), (None, "only null ids"), (3, "twice"), (3, "twice"), (4, "twice"), (5, None), (6, "")]).withColumn("digest", F.lit("clash"))
+    got = {(r.version): 0 for r in rollups.corpus_rollup(rows, BPE, "v").collect()}
+    for r in rollups.corpus_rollup(rows, BPE, "v").collect():
+        got[r.version] += r.docs
+    assert got == {"v": 3, "words-1": 3}
+
+
 def test_corpus_rollup_equals_a_recount(spark, sf):
     from tokenizers import Tokenizer
 
