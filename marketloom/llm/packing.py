@@ -2,7 +2,7 @@
 
 Documents become token sequences ending in the separator; only those longer than a sequence are cut, into full pieces after a
 first, shorter one. Full pieces need no packing. The others are dealt into shards of about `shard_pieces`, by a hash; each shard is
-placed by best fit in falling order of length, then improved by local search, in one task of bounded memory. Only lengths are
+placed by best fit in falling order of length, then improved by local search (at most 20,000 steps, each among the 64 bins next in room), in one task of bounded memory. Only lengths are
 shuffled, never ids. A shard leaves about one bin underfull, so the loss against one global packing is about one sequence in
 `shard_pieces` pieces.
 
@@ -87,6 +87,20 @@ def best_fit(lengths: list[int], room: int) -> Bins:
     return bins
 
 
+def best_pair(sizes: list[int], limit: int) -> tuple[int, int] | None:
+    """Places of the two of the rising sizes with the largest sum up to the limit, found from both ends."""
+    low, high, best = 0, bisect_left(sizes, limit) - 1, None
+    while low < high:
+        total = sizes[low] + sizes[high]
+        if total <= limit:
+            if best is None or total > sizes[best[0]] + sizes[best[1]]:
+                best = (low, high)
+            low += 1
+        else:
+            high -= 1
+    return best
+
+
 def exchange(bins: Bins, source: int, targets: list[int]) -> bool:
     """One step that raises the sum of squared fills by filling a target from source; source is no fuller than the target.
 
@@ -100,8 +114,6 @@ def exchange(bins: Bins, source: int, targets: list[int]) -> bool:
             return True
     own = sorted(bins.items[source])
     sizes = [x[0] for x in own]
-    pairs = sorted((x[0] + y[0], i, j) for i, x in enumerate(own[:64]) for j, y in enumerate(own[:i]))
-    sums = [p[0] for p in pairs]
     for target in targets:
         room = bins.free[target]
         if target == source or not room or room > bins.free[source]:
@@ -111,9 +123,9 @@ def exchange(bins: Bins, source: int, targets: list[int]) -> bool:
             k = bisect_left(sizes, out[0] + room + 1) - 1
             if k >= 0 and (gain := sizes[k] - out[0]) > 0 and (most is None or gain > most[0]):
                 most = (gain, out, [own[k]])
-            k = bisect_left(sums, out[0] + room + 1) - 1
-            if k >= 0 and (gain := sums[k] - out[0]) > 0 and (most is None or gain > most[0]):
-                most = (gain, out, [own[pairs[k][1]], own[pairs[k][2]]])
+            two = best_pair(sizes, out[0] + room)
+            if two and (gain := sizes[two[0]] + sizes[two[1]] - out[0]) > 0 and (most is None or gain > most[0]):
+                most = (gain, out, [own[k] for k in two])
         if most:
             _, out, into = most
             bins.take(target, out)
@@ -126,15 +138,25 @@ def exchange(bins: Bins, source: int, targets: list[int]) -> bool:
 
 
 def local_search(bins: Bins, steps: int, width: int) -> None:
-    """Empties the least filled bins one after another, into at most `width` others at a step, until none empties or steps run out."""
-    source = None
+    """Empties the least filled bins one after another, into the `width` roomiest others at a step. A bin that no step improves is passed
+    over until it changes. Ends when all are, when there are as few bins as the total needs, or after `steps` steps that changed something."""
+    least = -(-sum(bins.room - f for f in bins.free) // bins.room)
+    stuck: dict[int, int] = {}
+    filled = sum(1 for x in bins.items if x)
     for _ in range(steps):
-        if source is None or not bins.items[source]:
-            if len(bins.open) < 2:
+        while filled > least:
+            source = next((b for f, b in reversed(bins.open) if stuck.get(b) != f), None)
+            if source is None:
                 return
-            source = bins.open[-1][1]
-        if not exchange(bins, source, [b for _, b in bins.open[-width - 1 :][::-1]]):
+            before = bins.free[source]
+            at = bisect_left(bins.open, (before, source))
+            near = bins.open[max(0, at - width) : at][::-1] + bins.open[at + 1 : at + 1 + width]
+            if exchange(bins, source, [b for _, b in near]):
+                break
+            stuck[source] = before
+        else:
             return
+        filled = sum(1 for x in bins.items if x) if not bins.items[source] else filled
 
 
 def pack(lengths: list[int], room: int, steps: int = 20_000, width: int = 64) -> list[tuple[int, int]]:
