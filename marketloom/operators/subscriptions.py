@@ -59,18 +59,11 @@ def timer_batches(ticks: DataFrame, subs: DataFrame) -> DataFrame:
 
 
 def update(subs: DataFrame, ticks: DataFrame, last_ms: int, now_ms: int, next_ms: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
-    """One step of the bus. Before the next due time nothing is sent; if one period is due, its listeners get their ticks of [last, now);
-    if the step reaches a second due time, every listener gets one notification with all its ticks. Returns the rows and the due times after."""
-    due = sorted({t for t in next_ms.values() if t <= now_ms})
+    """One step of the bus: listeners of the periods that are due by now get one notification each, with their ticks of [last, now), whether
+    the step reaches one due time or several. Returns the rows and the due times after."""
+    due = [p for p, t in next_ms.items() if t <= now_ms]
     later = {p: now_ms - now_ms % p + p if t <= now_ms else t for p, t in next_ms.items()}
-    following = sorted({*(t for t in next_ms.values()), *(t + p for p, t in next_ms.items())})
     seen = ticks.where((F.col("time_ms") >= last_ms) & (F.col("time_ms") < now_ms))
-    if not due:
-        wanted = checked(subs).where(F.lit(False))
-    elif len(following) > 1 and now_ms >= following[1]:
-        wanted = checked(subs)
-    else:
-        wanted = checked(subs).where(F.col("period_ms").isin(*(p for p, t in next_ms.items() if t <= now_ms)))
-    pairs = wanted.select("listener", "symbol_id").distinct()
+    pairs = checked(subs).where(F.col("period_ms").isin(*due) if due else F.lit(False)).select("listener", "symbol_id").distinct()
     sent = seen.groupBy("symbol_id").agg(F.count("*").alias("ticks")).join(pairs, "symbol_id").groupBy("listener").agg(F.sum("ticks").alias("ticks"))
     return sent, later

@@ -161,6 +161,9 @@ def test_bus_update(spark):
     assert {r.listener: r.ticks for r in sent.collect()} == {1: 3} and due == {10: 20, 25: 25}
     sent, due = subscriptions.update(subs, ticks, 11, 50, due)
     assert {r.listener: r.ticks for r in sent.collect()} == {1: 7, 2: 7} and due == {10: 60, 25: 75}
+    hourly = spark.createDataFrame([(1, 7, 0, 1000), (2, 7, 0, 3_600_000)], "listener int, symbol_id int, provider_id int, period_ms long")
+    sent, due = subscriptions.update(hourly, ticks, 0, 2500, {1000: 1000, 3_600_000: 3_600_000})  # over two due times of one period
+    assert {r.listener: r.ticks for r in sent.collect()} == {1: 12} and due == {1000: 3000, 3_600_000: 3_600_000}
     with pytest.raises(Exception, match="positive"):
         subscriptions.timer_groups(subs.withColumn("period_ms", F.lit(0).cast("long"))).collect()
 
