@@ -17,16 +17,30 @@ BYBIT = ["timestamp", "symbol", "side", "size", "price", "tickDirection"]
 SECONDS_BELOW, MILLISECONDS_BELOW = 10_000_000_000, 10_000_000_000_000
 
 
-def read_lines(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The file's text columns, .gz included; rows whose first column doesn't begin with a digit are headers and go."""
-    rows = spark.read.schema(", ".join(f"{c} string" for c in columns)).csv(path)
-    return rows.where(F.col(columns[0]).rlike("^[0-9]"))
+#: What the first column of a header line says.
+HEADERS = ["id", "trade_id", "tradeId", "timestamp"]
 
 
-def split_lines(lines: DataFrame, columns: list[str], column: str = "value") -> DataFrame:
-    """The same from a column of whole lines, as archives give."""
-    parts = F.split(F.regexp_replace(column, "\r$", ""), ",")
-    return lines.where(F.col(column).rlike("^[0-9]")).select(*(F.get(parts, k).alias(c) for k, c in enumerate(columns)))
+def _without_headers(rows: DataFrame, first: str, on_bad: str) -> DataFrame:
+    """Header lines go; a row whose first column isn't a number otherwise is damaged, and raises, or goes where on_bad is drop."""
+    rows = rows.where(~F.coalesce(F.trim(first).isin(*HEADERS), F.lit(False)))
+    good = F.coalesce(F.col(first).rlike(r"^[0-9]+(\\.[0-9]+)?$"), F.lit(False))
+    if on_bad == "drop":
+        return rows.where(good)
+    error = F.raise_error(F.concat(F.lit("a damaged row: "), F.coalesce(first, F.lit("")))).cast("string")
+    return rows.withColumn(first, F.when(good, F.col(first)).otherwise(error))
+
+
+def read_lines(spark: SparkSession, path: str, columns: list[str], on_bad: str = "raise") -> DataFrame:
+    """The file's text columns, .gz included, without header lines. on_bad: raise or drop."""
+    return _without_headers(spark.read.schema(", ".join(f"{c} string" for c in columns)).csv(path), columns[0], on_bad)
+
+
+def split_lines(lines: DataFrame, columns: list[str], column: str = "value", on_bad: str = "raise") -> DataFrame:
+    """The same from a column of whole lines, as archives give; empty lines go."""
+    line = F.regexp_replace(column, "\r$", "")
+    parts = F.split(line, ",")
+    return _without_headers(lines.where(line != "").select(*(F.get(parts, k).alias(c) for k, c in enumerate(columns))), columns[0], on_bad)
 
 
 def detect_digits(rows: DataFrame, price: str = "price", volume: str = "qty") -> DataFrame:
@@ -48,21 +62,28 @@ def _ticks(rows: DataFrame, seq: Column, time: Column, mark: Column) -> DataFram
     )
 
 
-def binance_trades(rows: DataFrame, futures: bool = True, file: str | None = None) -> DataFrame:
+def binance_trades(rows: DataFrame, futures: bool = True, file: str | None = None, stretch: int = 1 << 20) -> DataFrame:
     """Ticks of the text rows. The time unit is that of the file's first trade (lowest id) for all of it; `file` names a column where many are read.
 
     A buyer who is maker marks FROM_BUY and else FROM_SELL; futures files take True and true, and mark BEST_MATCH; spot files take true
     alone. LAST_UPDATED marks a price that differs from that of the trade before by id; the first trade's always does.
-    The first trade is found by one partial aggregate a file; price changes by one window a file.
+    The first trade is found by one partial aggregate a file. A file's trades are dealt by stretches of `stretch` ids; the price before a stretch comes
+    from a summary of one row a stretch, so no file is one task's work.
     """
     key = F.lit(0) if file is None else F.col(file)
-    rows = rows.withColumn("file_key", key).withColumn("seq", F.col("id").cast("long"))
+    rows = rows.withColumn("file_key", key).withColumn("seq", F.col("id").cast("long")).withColumn("part", F.floor(F.col("seq") / stretch))
     units = rows.groupBy("file_key").agg(_unit(F.min_by(F.col("time").cast("double"), "seq")).alias("unit"))
     rows = rows.join(F.broadcast(units), "file_key") if file is None else rows.join(units, "file_key")
-    before = F.coalesce(F.lag(F.col("price").cast("double")).over(Window.partitionBy("file_key").orderBy("seq")), F.lit(-1.0))
+    ends = rows.groupBy("file_key", "part").agg(F.max_by(F.col("price").cast("double"), "seq").alias("end"))
+    ends = ends.withColumn("carried", F.lag("end").over(Window.partitionBy("file_key").orderBy("part"))).drop("end")
+    rows = rows.join(ends, ["file_key", "part"])
+    before = F.lag(F.col("price").cast("double")).over(Window.partitionBy("file_key", "part").orderBy("seq"))
+    before = F.coalesce(before, "carried", F.lit(-1.0))
+    # The window's place is kept apart from the mark below, which reads it twice.
+    rows = rows.withColumn("price_before", before)
     yes = ["true", "True"] if futures else ["true"]
     mark = F.when(F.col("is_buyer_maker").isin(*yes), types.FROM_BUY).otherwise(types.FROM_SELL)
-    mark = mark + F.when(F.col("price").cast("double") != before, types.LAST_UPDATED).otherwise(0)
+    mark = mark + F.when(F.col("price").cast("double") != F.col("price_before"), types.LAST_UPDATED).otherwise(0)
     if futures:
         mark = mark + F.when(F.col("is_best_match").isin(*yes), types.BEST_MATCH).otherwise(0)
     time = F.when(F.col("unit") == 0.001, F.floor(F.col("time").cast("long") / 1000)).otherwise(F.col("time").cast("long") * F.col("unit"))
