@@ -154,7 +154,7 @@ def _blocked(batches: Iterator[pa.RecordBatch], folder: str, lines: int) -> Iter
             if out is None:
                 system, path = opened(place + ".cdx")
                 out = system.open_output_stream(path, compression=None)
-            held.append("\t".join((clean(key), page_key(page), file, str(offset), str(length))))
+            held.append("\t".join((key, page_key(page), file, str(offset), str(length))))
             if len(held) == lines:
                 flush()
     if out is None:
@@ -193,6 +193,10 @@ class CaptureIndex:
         folder = scratch.path("index")
         mk = scratch.spark._jvm.org.apache.hadoop.fs.Path(folder)
         mk.getFileSystem(scratch.spark._jsc.hadoopConfiguration()).mkdirs(mk)
+        raw = F.col("surt")
+        without = F.replace(F.replace(F.replace(raw, F.lit("%"), F.lit("%25")), F.lit("\t"), F.lit("%09")), F.lit("\n"), F.lit("%0A"))
+        # In order of the keys as they are stored and searched, not of the raw ones.
+        lines = lines.withColumn("surt", F.when(raw.contains("\t") | raw.contains("\n"), without).otherwise(raw))
         keys = [F.col("surt"), F.col("page_id").asc_nulls_last(), F.col("file"), F.col("offset")]
         n = shards or int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
         placed = lines.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _blocked(it, folder, block_lines), "key string, page string, place string")
@@ -253,22 +257,25 @@ class CaptureIndex:
         return max(k, 0)
 
 
-def _looked_up(batches: Iterator[pa.RecordBatch], shards: list) -> Iterator[pa.RecordBatch]:
+def _looked_up(batches: Iterator[pa.RecordBatch], shards: list, must: bool) -> Iterator[pa.RecordBatch]:
     index = CaptureIndex(shards)
     for batch in slices(batches, 4096):
         rows = []
         for key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows += [(*hit, 0) for hit in index.find(key, page)]
+            hits = index.find(key, page)
+            if must and not hits:
+                raise LookupError(f"the index has no capture of {key!r}, page {page}")
+            rows += [(*hit, 0) for hit in hits]
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], ["file", "offset", "length"])
 
 
-def look_up(keys: DataFrame, index: CaptureIndex) -> DataFrame:
-    """keys: surt, page_id. (file, offset, length) of their captures; sorted keys make a task read each block once."""
+def look_up(keys: DataFrame, index: CaptureIndex, must: bool = False) -> DataFrame:
+    """keys: surt, page_id. (file, offset, length) of their captures; sorted keys make a task read each block once. must: a key without one is an error."""
     shards = index.shards
     keys = keys.select("surt", "page_id").distinct()
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = keys.repartitionByRange(n, "surt", "page_id").sortWithinPartitions("surt", F.col("page_id").asc_nulls_last())
-    return keys.mapInArrow(lambda it: _looked_up(it, shards), "file string, offset long, length long")
+    return keys.mapInArrow(lambda it: _looked_up(it, shards, must), "file string, offset long, length long")
 
 
 def _read(batches: Iterator[pa.RecordBatch], gap: int, most: int) -> Iterator[pa.RecordBatch]:

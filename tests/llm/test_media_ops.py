@@ -40,6 +40,17 @@ def test_archives_round_trip(spark):
     assert warc.archive(df.where("false")).count() == 0
 
 
+def test_index_orders_keys_as_they_are_stored(spark):
+    names = ["a", "a\tb", "a!", "a%", "a\nb", "a0", "a%09", "a\t"]
+    df = spark.createDataFrame([(x, k, "f", 10 * k, 5) for k, x in enumerate(names)], warc.LINE)
+    index = warc.CaptureIndex.build(df, Scratch(spark, "cdx"), block_lines=2, shards=3)
+    assert all(index.find(x, k) == [("f", 10 * k, 5)] for k, x in enumerate(names))
+    got = warc.look_up(df, index, must=True).collect()
+    assert sorted(r.offset for r in got) == [10 * k for k in range(len(names))]
+    with pytest.raises(Exception, match="no capture"):
+        warc.look_up(df.withColumn("surt", F.lit("b")), index, must=True).collect()
+
+
 def test_index_finds_by_binary_search(spark):
     keys = [(f"com,h{k % 4})/{k // 3:03d}", k, "f", 10 * k, 5) for k in range(500)] + [("com,h0)/000", 0, "g", 1, 2)]
     scratch = Scratch(spark, "cdx")
