@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Widths in bits of the fields, from the top.
 MARKET_BITS, EXCHANGE_BITS, SYMBOL_BITS, SEGMENT_BITS = 3, 10, 16, 35
 SIDE_BITS, TRADE_ID_BITS = 3, 61
+WIDTHS = {"market_type": MARKET_BITS, "exchange_id": EXCHANGE_BITS, "symbol_id": SYMBOL_BITS, "segment": SEGMENT_BITS}
 
 
 def _field(key: Column, shift: int, bits: int) -> Column:
@@ -20,7 +23,24 @@ def symbol_key32(market: Column, exchange: Column, symbol: Column) -> Column:
 
 
 def symbol_key64(market: Column, exchange: Column, symbol: Column, segment: Column) -> Column:
-    return F.shiftleft(symbol_key32(market, exchange, symbol), SEGMENT_BITS).bitwiseOR(segment.cast("long"))
+    """An error where a field is wider than its bits, as it would change its neighbours; `wide_key64` takes such fields."""
+    key = F.shiftleft(symbol_key32(market, exchange, symbol), SEGMENT_BITS).bitwiseOR(segment.cast("long"))
+    wide = reduce(Column.__or__, [high != 0 for high in _high(market, exchange, symbol, segment)])
+    return F.when(wide, F.raise_error(F.lit("a field is wider than its bits in the key")).cast("long")).otherwise(key)
+
+
+def _high(*fields: Column) -> list[Column]:
+    """What of market, exchange, symbol and segment lies above their bits."""
+    return [F.shiftright(x.cast("long"), bits) for x, bits in zip(fields, WIDTHS.values())]
+
+
+def wide_key64(market: Column, exchange: Column, symbol: Column, segment: Column) -> Column:
+    """key, over: the key of the fields' low bits, and what lies above them, null where all fit; `wide_key64_fields` restores fields of any width."""
+    fields = market, exchange, symbol, segment
+    low = [x.cast("long").bitwiseAND(F.lit((1 << bits) - 1)) for x, bits in zip(fields, WIDTHS.values())]
+    high = _high(*fields)
+    over = F.when(reduce(Column.__or__, [x != 0 for x in high]), F.struct(*(x.alias(n) for n, x in zip(WIDTHS, high))))
+    return F.struct(F.shiftleft(symbol_key32(*low[:3]), SEGMENT_BITS).bitwiseOR(low[3]).alias("key"), over.alias("over"))
 
 
 def key32_fields(key: Column) -> dict[str, Column]:
@@ -36,6 +56,14 @@ def key64_fields(key: Column) -> dict[str, Column]:
     return key32_fields(F.shiftrightunsigned(key, SEGMENT_BITS)) | {"segment": _field(key, 0, SEGMENT_BITS)}
 
 
+def wide_key64_fields(wide: Column) -> dict[str, Column]:
+    def whole(name: str, low: Column) -> Column:
+        high = F.shiftleft(F.coalesce(wide["over"][name], F.lit(0).cast("long")), WIDTHS[name])
+        return high.bitwiseOR(low.cast("long")).cast("long" if name == "segment" else "int")
+
+    return {n: whole(n, low) for n, low in key64_fields(wide["key"]).items()}
+
+
 def pack_trade_id(trade_id: Column, side: Column) -> Column:
     return F.shiftleft(trade_id.cast("long"), SIDE_BITS).bitwiseOR(side.cast("long"))
 

@@ -17,6 +17,25 @@ def test_keys_at_their_bounds(spark):
     assert back[0].key == -1 and back[1].key == 0
 
 
+def test_keys_of_wide_fields(spark):
+    rows = [(7, 1023, 65535, 2**35 - 1), (3, 5, 120_000, 950_300_000), (9, 1024, 2**31 - 1, 2**62), (1, 1, -1, -5)]
+    df = spark.createDataFrame(rows, "m int, e int, s int, g long")
+    wide = df.select(keys.wide_key64(*(F.col(c) for c in "mesg")).alias("k"))
+    back = wide.select(*(c.alias(n) for n, c in keys.wide_key64_fields(F.col("k")).items()), "k").collect()
+    assert [tuple(r)[:4] for r in back] == rows and back[0].k.key == -1 and back[0].k.over is None and back[1].k.over.symbol_id == 1
+    with pytest.raises(Exception, match="wider than its bits"):
+        df.where("s = 120000").select(keys.symbol_key64(*(F.col(c) for c in "mesg"))).collect()
+
+
+def test_key_round_trip_beyond_16_bits(spark, sf, tmp_path):
+    from marketloom.plans.queries import QUERIES
+
+    spark.read.parquet(f"{sf}/part.parquet").withColumn("p_partkey", F.col("p_partkey") + 70_000).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = {tuple(r) for r in QUERIES["key64_round_trip"](spark, str(tmp_path)).select("market_type", "exchange_id", "symbol_id", "segment").collect()}
+    want = {(k % 8, k % 33, k, k * 7919 + 20_000) for (k,) in spark.read.parquet(str(tmp_path / "part.parquet")).select("p_partkey").collect()}
+    assert got == want
+
+
 def test_trade_ids_use_61_bits(spark):
     packed = keys.pack_trade_id(F.lit(2**61 - 1), F.lit(2))
     got = keys.unpack_trade_id(packed)
