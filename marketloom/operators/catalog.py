@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SETS = ("market_types", "exchange_ids", "symbol_ids")
+FIELDS = ("market_type", "exchange_id", "symbol_id")
 
 
 def _bound(pick, a: Column, b: Column) -> Column:
@@ -53,16 +54,32 @@ def serves(flag: Column | int, market: Column, exchange: Column, symbol: Column,
 def route(requests: DataFrame, stores: DataFrame, flag: int, key: str = "store", strict: bool = True) -> DataFrame:
     """The first store, by `priority`, that serves each request (request_id, market_type, exchange_id, symbol_id, time_ms).
 
-    Stores are flattened to one row a served (market, exchange, symbol), so the join is an equi-join. strict: an error if none serves one.
+    Each set of a store is flattened by itself, never their product. strict: an error if none serves a request.
     """
-    flat = stores.where(F.col("data_flags").bitwiseAND(F.lit(flag).cast("long")) != 0).select(
-        key, "priority", "start_ms", "end_ms", F.explode("market_types").alias("market_type"), "exchange_ids", "symbol_ids"
-    ).select("*", F.explode("exchange_ids").alias("exchange_id")).select(key, "priority", "start_ms", "end_ms", "market_type", "exchange_id", F.explode("symbol_ids").alias("symbol_id"))
-    on = ["market_type", "exchange_id", "symbol_id"]
+    # A store may have several metadata rows; each is told by its content.
+    open_ = stores.where(F.col("data_flags").bitwiseAND(F.lit(flag).cast("long")) != 0).withColumn("held_by", F.xxhash64(key, "priority", "start_ms", "end_ms", *SETS))
+    bounds = open_.select("held_by", "priority", F.col(key).alias("held_key"), "start_ms", "end_ms").distinct()
+    sets = {c: open_.select("held_by", F.explode(n).alias(c)).distinct() for c, n in zip(FIELDS, SETS)}
+    return _routed(requests, bounds, sets, key, strict)
+
+
+def route_held(requests: DataFrame, held: DataFrame, key: str = "store", strict: bool = True) -> DataFrame:
+    """`route` by the rows that stores hold (key, priority, market_type, exchange_id, symbol_id, time_ms), whose sets are never gathered in one row."""
+    held = held.withColumn("held_by", F.xxhash64(key, "priority"))
+    bounds = held.groupBy("held_by", "priority", F.col(key).alias("held_key")).agg(F.min("time_ms").alias("start_ms"), F.max("time_ms").alias("end_ms"))
+    return _routed(requests, bounds, {c: held.select("held_by", c).distinct() for c in FIELDS}, key, strict)
+
+
+def _routed(requests: DataFrame, bounds: DataFrame, sets: dict[str, DataFrame], key: str, strict: bool) -> DataFrame:
+    # The set of symbols may be large, whatever the planner takes it for, and is never broadcast.
+    rows = requests.join(sets["symbol_id"].hint("merge"), "symbol_id", "left").join(bounds, "held_by", "left")
+    for c in ("exchange_id", "market_type"):
+        rows = rows.join(sets[c].withColumn(f"has_{c}", F.lit(True)), ["held_by", c], "left")
     inside = ((F.col("start_ms") == 0) | (F.col("time_ms") >= F.col("start_ms"))) & ((F.col("end_ms") == 0) | (F.col("time_ms") < F.col("end_ms")))
-    best = requests.join(flat, on, "left").groupBy("request_id").agg(F.min(F.when(inside, F.struct("priority", key)))[key].alias(key))
+    served = inside & F.col("has_exchange_id") & F.col("has_market_type")
+    best = rows.groupBy("request_id").agg(F.min(F.when(served, F.struct("priority", "held_key")))["held_key"].alias(key))
     if strict:
-        best = best.withColumn(key, F.coalesce(F.col(key), F.raise_error(F.lit("no store serves a request")).cast(stores.schema[key].dataType)))
+        best = best.withColumn(key, F.coalesce(F.col(key), F.raise_error(F.lit("no store serves a request")).cast(bounds.schema["held_key"].dataType)))
     return best
 
 

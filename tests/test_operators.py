@@ -186,6 +186,16 @@ def test_routing_takes_the_first_and_open_bounds(spark):
         catalog.route(asks.withColumn("symbol_id", F.lit(9)), stores, types.STORE_BARS).collect()
 
 
+def test_routing_makes_no_product_of_sets(spark):
+    many = 3000
+    stores = spark.createDataFrame([("a", 0, 2, 0, 0, list(range(8)), list(range(1000)), list(range(many)))], "store string, priority int, " + types.STORE_META)
+    asks = spark.range(many + 1).select(F.col("id").alias("request_id"), (F.col("id") % 8).cast("int").alias("market_type"), (F.col("id") % 1000).cast("int").alias("exchange_id"), F.col("id").cast("int").alias("symbol_id"), F.lit(5).cast("long").alias("time_ms"))
+    held = asks.where(F.col("symbol_id") < many).withColumns({"store": F.lit("a"), "priority": F.lit(0)})
+    held = held.unionByName(held.limit(1).withColumn("time_ms", F.lit(9).cast("long"))).drop("request_id")
+    for out in (catalog.route(asks, stores, types.STORE_BARS, strict=False), catalog.route_held(asks, held, strict=False)):
+        assert out.where("store = 'a'").count() == many and out.where("store IS NULL").count() == 1
+
+
 def test_unchanged_metadata_is_not_written(spark):
     held = spark.createDataFrame([(1, 5), (2, 6)], "k int, v int")
     after, changed = catalog.put_changed(held, spark.createDataFrame([(1, 5), (2, 7), (3, 8)], "k int, v int"), ["k"])
