@@ -296,6 +296,28 @@ def test_raking_meets_its_targets():
     assert (x <= tokens).all()
 
 
+def test_buckets_with_common_lines_are_one(spark, tmp_path):
+    from marketloom.llm.common import Scratch
+
+    near = [(key, node, 1, node) for key in range(19) for node in range(100) if (key + node) % 19]
+    chain = [(1000 + k, 5000 + 40 * k + j, 1, 5000 + 40 * k + j) for k in range(30) for j in range(50)]
+    large = spark.createDataFrame(near + chain, "key long, node long, sketch long, component long")
+    got = lines.merged(large, Scratch(spark, "merged")).collect()
+    one, apart = [r for r in got if r.node < 5000], [r for r in got if r.node >= 5000]
+    assert len(one) == 100 and len({r.key for r in one}) == 1  # 1,795 rows before
+    assert sorted((r.key, r.node) for r in apart) == sorted((k, n) for k, n, _, _ in chain)
+
+
+def test_a_large_bucket_is_dealt_over_tasks(spark):
+    from marketloom.llm.common import Scratch
+
+    rows = spark.range(400).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node"), F.col("id").alias("component"), F.lit(None).cast("long").alias("own"), (F.col("id") % 40).cast("int").alias("part"))
+    meet = lines.meetings(rows, Scratch(spark, "dealt"), "left", "node")
+    pairs = Counter(tuple(sorted((a.node, b.node))) for r in meet.collect() for a in r.x for b in r.y)
+    assert all(pairs[a, b] >= 1 for a in range(400) for b in range(a + 1, 400))
+    assert "task" in meet._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mixing_against_a_literal_model(spark):
     from tokenizers import Tokenizer
 
