@@ -1,8 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting (operator 5).
 
-A document weighs its tokens, counted by a tokenizer. Its topic is a cluster of hashed token counts; the clusters are fitted on at most `bound`
-documents, those of the smallest hashes of their ids (a documented bound, the same at every size), and every document is assigned. Both
-are made in one pass over the texts and stored.
+A document weighs its tokens, counted by a tokenizer. Its topic is a cluster of hashed token counts; the clusters are fitted on all
+documents: texts are tokenized once and their counts stored, and each step of the fit is a pass over these, of which the driver gets sums or one row.
 
 Tokens are summed by cell (source, language, topic). Starting from the wanted share of each cell's tokens, every round scales the cells
 to the target of each source, then language, then topic, and cuts a cell at the tokens that it has. A document is then drawn with
@@ -20,6 +19,7 @@ their names (topic, tokens, probability and selected are replaced).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,66 +36,122 @@ DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.7, "lang": 0.5, "topic": 0.5}
 #: Columns that token ids are hashed to.
 WIDTH = 512
+#: Profiles are summed in whole numbers of this fraction.
+UNIT = 1 << 24
 
 
-def profile(ids: np.ndarray) -> np.ndarray:
-    """Logarithms of hashed token counts, as a unit vector; all zeros without tokens."""
+def hashed_counts(ids: np.ndarray) -> bytes:
+    """Hashed token counts, compressed; equal counts have equal bytes."""
     counts = np.bincount((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(55)).astype(int), minlength=WIDTH)
-    x = np.log1p(counts)
-    return x / max(np.sqrt((x * x).sum()), 1e-12)
+    return zlib.compress(counts.astype("<u4").tobytes(), 1)
 
 
-def clusters(x: np.ndarray, k: int, rounds: int = 20, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """The mean of the profiles, and k unit vectors: spherical k-means of what differs from the mean, begun with the farthest rows."""
-    mean = x.mean(0)
-    x = x - mean
-    x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-    c = x[[0]]
-    while len(c) < min(k, len(x)):
-        c = np.vstack((c, x[[(x @ c.T).max(1).argmin()]]))
-    for _ in range(rounds):
-        own = (x @ c.T).argmax(1)
-        sums = np.array([x[own == j].sum(0) if (own == j).any() else c[j] for j in range(len(c))])
-        c = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
-    return mean, c
-
-
-def _profiles(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    b = bpe(path)
-    for batch in slices(batches):
-        found = [profile(np.frombuffer(b.packed(t), "<u4")).astype("<f8").tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "profile"])
+def profiles(packed: list[bytes]) -> np.ndarray:
+    """A row each: logarithms of the counts, as a unit vector; all zeros without tokens."""
+    x = np.log1p(np.frombuffer(b"".join(map(zlib.decompress, packed)), "<u4").reshape(len(packed), WIDTH).astype(float))
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
 
 
-def fit_topics(docs: DataFrame, tokenizer: str, topics: int = 8, bound: int = 2000) -> tuple[np.ndarray, np.ndarray] | None:
-    """The clusters of a bounded sample; None without a document that has an id."""
-    order = (F.xxhash64(F.col("doc_id"), F.lit("topics")), "doc_id")
-    # Cut to `bound` ids, which is the size bound of this broadcast.
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(*order).limit(bound)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(lambda it: _profiles(it, tokenizer), f"doc_id {kind}, profile binary")
-    rows = found.groupBy("doc_id").agg(F.min("profile").alias("profile")).orderBy(*order).collect()
-    return clusters(np.array([np.frombuffer(r.profile, "<f8") for r in rows]), topics) if rows else None
+def apart(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """What of profiles differs from the mean, as unit vectors."""
+    x = x - mean
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    for batch in slices(batches, 2048):
+        yield batch.column(0).to_pylist()
+
+
+def _sums(batches: Iterator[pa.RecordBatch], mean: np.ndarray | None, centres: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """own, place, value: sums by nearest centre (one without centres), in whole numbers, so that their order doesn't matter; place WIDTH counts rows."""
+    total = np.zeros((1 if centres is None else len(centres), WIDTH + 1), np.int64)
+    for packed in _packed(batches):
+        x = profiles(packed)
+        own = np.zeros(len(x), int)
+        if centres is not None:
+            x = apart(x, mean)
+            own = (x @ centres.T).argmax(1)
+        whole = np.hstack((np.rint(x * UNIT).astype(np.int64), np.ones((len(x), 1), np.int64)))
+        for j in np.unique(own):
+            total[j] += whole[own == j].sum(0)
+    own, place = np.nonzero(total)
+    yield pa.record_batch([pa.array(own, pa.int32()), pa.array(place, pa.int32()), pa.array(total[own, place])], ["own", "place", "value"])
+
+
+def _farthest(batches: Iterator[pa.RecordBatch], mean: np.ndarray, centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """near, counts: of a task's rows the one whose nearest centre is farthest."""
+    best = None
+    for packed in _packed(batches):
+        near = (apart(profiles(packed), mean) @ centres.T).max(1).round(9)
+        least = near.min()
+        row = (float(least), min(packed[k] for k in np.nonzero(near == least)[0]))
+        best = row if best is None else min(best, row)
+    if best:
+        yield pa.record_batch([pa.array([best[0]]), pa.array([best[1]], pa.binary())], ["near", "counts"])
+
+
+def fit_topics(counted: DataFrame, topics: int = 8, rounds: int = 20) -> tuple[np.ndarray, np.ndarray] | None:
+    """The mean of all profiles, and the centres: spherical k-means over the column `counts` of all rows, begun with the farthest ones; None without rows."""
+    counts = counted.select("counts")
+
+    def sums(mean: np.ndarray | None, centres: np.ndarray | None) -> np.ndarray:
+        found = counts.mapInArrow(lambda it: _sums(it, mean, centres), "own int, place int, value long").groupBy("own", "place").agg(F.sum("value").alias("value"))
+        out = np.zeros((1 if centres is None else len(centres), WIDTH + 1), np.int64)
+        for r in found.collect():  # at most topics * (WIDTH + 1) rows
+            out[r.own, r.place] = r.value
+        return out
+
+    first = counts.agg(F.min(F.struct(F.xxhash64("counts").alias("hash"), "counts")).alias("least")).first().least
+    if first is None:
+        return None
+    whole = sums(None, None)[0]
+    mean = whole[:WIDTH] / (UNIT * whole[WIDTH])
+    chosen = [bytes(first.counts)]
+    while len(chosen) < topics:
+        centres = apart(profiles(chosen), mean)
+        found = counts.mapInArrow(lambda it, c=centres: _farthest(it, mean, c), "near double, counts binary").agg(F.min(F.struct("near", "counts")).alias("least")).first().least
+        if bytes(found.counts) in chosen:
+            break
+        chosen.append(bytes(found.counts))
+    centres, before = apart(profiles(chosen), mean), None
+    for _ in range(rounds):
+        now = sums(mean, centres)
+        if before is not None and (now == before).all():
+            break
+        before, moved = now, now[:, :WIDTH] / UNIT
+        centres = np.where(now[:, WIDTH:] > 0, moved / np.maximum(np.linalg.norm(moved, axis=1), 1e-12)[:, None], centres)
+    return mean, centres
 
 
-def _weighed(batches: Iterator[pa.RecordBatch], path: str, fitted: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     b = bpe(path)
     for batch in slices(batches):
-        topics, tokens = [], []
+        tokens, counts = [], []
         for text in batch.column(3).to_pylist():
             ids = np.frombuffer(b.packed(text), "<u4")
             tokens.append(max(len(ids), 1))
-            topics.append(None if fitted is None else f"topic-{int(((profile(ids) - fitted[0]) @ fitted[1].T).argmax())}")
-        yield pa.record_batch([*batch.columns[:3], pa.array(topics, pa.string()), pa.array(tokens, pa.int64())], ["row", "source", "lang", "topic", "tokens"])
+            counts.append(hashed_counts(ids))
+        yield pa.record_batch([*batch.columns[:3], pa.array(tokens, pa.int64()), pa.array(counts, pa.binary())], ["row", "source", "lang", "tokens", "counts"])
+
+
+def _assigned(batches: Iterator[pa.RecordBatch], fitted: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        own = (apart(profiles(batch.column(4).to_pylist()), fitted[0]) @ fitted[1].T).argmax(1)
+        yield pa.record_batch([*batch.columns[:3], pa.array([f"topic-{k}" for k in own], pa.string()), batch.column(3)], ["row", "source", "lang", "topic", "tokens"])
 
 
-def weigh(docs: DataFrame, tokenizer: str, keep: list[str], topics: int = 8, bound: int = 2000) -> DataFrame:
+def weigh(docs: DataFrame, tokenizer: str, keep: list[str], scratch: Scratch, topics: int = 8) -> DataFrame:
     """row (the columns `keep`), source, lang, topic, tokens of each document; columns of docs stay in their struct, so no names clash."""
-    fitted = fit_topics(docs, tokenizer, topics, bound)
     rows = docs.select(F.struct(*keep).alias("row"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    out = T.StructType([rows.schema["row"], *(T.StructField(d, T.StringType()) for d in DIMENSIONS), T.StructField("tokens", T.LongType())])
-    return rows.mapInArrow(lambda it: _weighed(it, tokenizer, fitted), out)
+    names = [T.StructField(d, T.StringType()) for d in DIMENSIONS]
+    made = T.StructType([rows.schema["row"], *names[:2], T.StructField("tokens", T.LongType()), T.StructField("counts", T.BinaryType())])
+    counted = scratch.table(rows.mapInArrow(lambda it: _counted(it, tokenizer), made), "counted")
+    fitted = fit_topics(counted, topics)
+    out = T.StructType([rows.schema["row"], *names, T.StructField("tokens", T.LongType())])
+    weighed = scratch.table(counted.mapInArrow(lambda it: _assigned(it, fitted), out), "weighed")
+    scratch.drop("counted")
+    return weighed
 
 
 def draw(id_col: str = "doc_id", seed: str = "mix") -> Column:
@@ -155,13 +211,13 @@ def rake_table(cells: DataFrame, share: float, targets: dict[str, dict] | None,
 
 def mix(
     docs: DataFrame, tokenizer: str, share: float = 0.5, targets: dict[str, dict] | None = None, rounds: int = 20, most_cells: int = 200_000,
-    topics: int = 8, bound: int = 2000, keep: list[str] | None = None,
+    topics: int = 8, keep: list[str] | None = None,
 ) -> DataFrame:
     """The columns `keep` of docs (by default all), then source and language as raked if they aren't among them, topic, tokens, probability and selected."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
     made = ("topic", "tokens", "probability", "selected")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    rows = scratch.table(weigh(docs, tokenizer, keep, topics, bound), "weighed")
+    rows = weigh(docs, tokenizer, keep, scratch, topics)
     cells = scratch.table(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").cast("double").alias("n")), "cells")
     if cells.count() > most_cells:
         table = scratch.table(rake_table(cells, share, targets, rounds, scratch), "raked")

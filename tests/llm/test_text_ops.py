@@ -367,6 +367,16 @@ def test_mixing_meets_its_marginals(spark):
     assert [len(v) for v in by.values()] == [1] * 4 and len(set.union(*by.values())) == 4
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    # The rare kind is last in the order by which 2,000 documents were sampled before.
+    order = spark.range(6000).select("id", F.xxhash64("id", F.lit("topics")).alias("h")).orderBy("h").collect()
+    rare = {r.id for r in order[-3:]}
+    df = docs(spark, [(k, ("zebra quartz " if k in rare else "alpha beta gamma " if k % 2 else "der die das ") * 6) for k in range(6000)])
+    got = {r.doc_id: r.topic for r in mixing.mix(df, BPE, topics=3, keep=["doc_id"]).select("doc_id", "topic").collect()}
+    by = [{got[k] for k in got if k in rare}, {got[k] for k in got if k not in rare and k % 2}, {got[k] for k in got if k not in rare and not k % 2}]
+    assert [len(v) for v in by] == [1, 1, 1] and len(set.union(*by)) == 3
+
+
 def test_mixing_odd_rows(spark):
     clash = ["cell", "cell_source", "cell_lang", "cell_topic", "row", "topic", "tokens", "selected", "probability", "profile", "of"]
     odd = docs(spark, [(None, None), (1, ""), (1, ""), (2, "word " * 300_000)]).withColumn("lang", F.lit(None).cast("string"))
