@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -308,6 +309,40 @@ def test_buckets_with_common_lines_are_one(spark, tmp_path):
     assert sorted((r.key, r.node) for r in apart) == sorted((k, n) for k, n, _, _ in chain)
 
 
+def test_sets_are_shuffled_once_to_confirm_pairs(spark, tmp_path):
+    rows = [(k, list(range(k % 7, 40 + k % 7))) for k in range(300)]
+    spark.createDataFrame(rows, "node long, s array<int>").write.parquet(f"{tmp_path}/sets")
+    spark.createDataFrame([(k, k + 7 * j) for k in range(100) for j in (1, 5)] + [(k, k + 1) for k in range(50)], "a long, b long").write.parquet(f"{tmp_path}/pairs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = lines.confirmed(spark.read.parquet(f"{tmp_path}/pairs"), spark.read.parquet(f"{tmp_path}/sets"), 99)
+        assert {(r.a, r.b) for r in got.collect()} == {(k, k + 7 * j) for k in range(100) for j in (1, 5)}
+        assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_line_dedup_holds_no_shuffle_of_texts_while_sets_are_compared(spark, monkeypatch):
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {int(k) for k in re.findall(r"shuffle_(\d+)_", files)}
+
+    last, held, compare = max(shuffles(), default=-1), [], lines.confirmed
+
+    def watched(*a):
+        for _ in range(50):  # files go a little later
+            if not any(k > last for k in shuffles()):
+                break
+            time.sleep(0.2)
+        held.append({k for k in shuffles() if k > last})
+        return compare(*a)
+
+    monkeypatch.setattr(lines, "confirmed", watched)
+    text = "a line that several documents hold with an edit "
+    lines.dedup_lines(docs(spark, [(k, f"{text}{k % 9}\n{text}{k % 4} of its own {k % 5}") for k in range(60)])).collect()
+    assert held == [set(), set()]
+
+
 def test_a_large_bucket_is_dealt_over_tasks(spark):
     from marketloom.llm.common import Scratch
 
