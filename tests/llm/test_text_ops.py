@@ -412,6 +412,34 @@ def test_topics_are_fitted_on_all_documents(spark):
     assert [len(v) for v in by] == [1, 1, 1] and len(set.union(*by)) == 3
 
 
+def test_hashed_counts_are_whole():
+    ids = np.repeat(np.arange(6, dtype="<u4"), [1, 254, 255, 256, 70_000, 300_000])
+    for x in (ids, ids[:0], ids[:200]):
+        counts = np.bincount((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(55)).astype(int), minlength=mixing.WIDTH)
+        logs = np.log1p(counts.astype(float))
+        got = mixing.profiles([mixing.hashed_counts(ids[:9]), mixing.hashed_counts(x), mixing.hashed_counts(ids)])
+        assert got[1] == pytest.approx(logs / max(np.sqrt((logs * logs).sum()), 1e-12), abs=1e-15)
+
+
+def test_all_passes_of_the_fit_cost_less_than_the_tokens():
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    b = bpe(BPE)
+    began = time.thread_time()
+    counts = [mixing.hashed_counts(np.frombuffer(b.packed(x), "<u4")) for x in texts]
+    tokens, batch = time.thread_time() - began, pa.record_batch([pa.array(counts, pa.binary())], ["counts"])
+    mean = mixing.profiles(counts).mean(0)
+    centres = mixing.apart(mixing.profiles(counts[:8]), mean)
+    began = time.thread_time()
+    for _ in range(7):
+        list(mixing._farthest([batch], mean, centres))
+    for _ in range(20):
+        list(mixing._sums([batch], mean, centres))
+    assert time.thread_time() - began < tokens
+
+
 def test_mixing_odd_rows(spark):
     clash = ["cell", "cell_source", "cell_lang", "cell_topic", "row", "topic", "tokens", "selected", "probability", "profile", "of"]
     odd = docs(spark, [(None, None), (1, ""), (1, ""), (2, "word " * 300_000)]).withColumn("lang", F.lit(None).cast("string"))
