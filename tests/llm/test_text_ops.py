@@ -322,6 +322,50 @@ def test_sets_are_shuffled_once_to_confirm_pairs(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_parities_settle_most_unlike_pairs_and_no_like_one(spark):
+    rnd, sets, like = random.Random(3), {}, {}
+    for k in range(300):
+        n, shift = rnd.choice([5, 40, 300, 450, 2000]), rnd.choice([0.02, 0.1, 0.11, 0.12, 0.2, 0.3, 0.5])
+        x = rnd.sample(range(-(2**31), 2**31), n + int(n * shift))
+        sets[2 * k], sets[2 * k + 1] = x[:n], x[len(x) - n :]
+        like[2 * k, 2 * k + 1] = 100 * len({*sets[2 * k]} & {*sets[2 * k + 1]}) >= 80 * len(x)
+    both = spark.createDataFrame([*sets.items()], "node long, s array<int>")
+    bits = lines.parities(both)
+    assert {r.node: r["size"] for r in bits.collect()} == {k: len(x) for k, x in sets.items()}
+    pairs = spark.createDataFrame([*like], "a long, b long")
+    left = {(r.a, r.b) for r in lines.not_unlike(pairs, bits, 80).collect()}
+    want = {x for x, y in like.items() if y}
+    assert len(want) > 50 and want <= left
+    assert sum(x in left for x, y in like.items() if not y) < 0.6 * (len(like) - len(want))
+    assert {(r.a, r.b) for r in lines.confirmed(pairs, both, 80).collect()} == want
+
+
+def test_line_keys_are_shuffled_once_and_unlike_sets_not_at_all(spark, monkeypatch):
+    from marketloom.llm.common import Scratch
+
+    exchanges, pairs, write, compare = {}, [], Scratch.table, lines.confirmed
+
+    def table(self, df, name):
+        exchanges[name] = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(key")
+        return write(self, df, name)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    monkeypatch.setattr(lines, "confirmed", lambda x, *a: pairs.append(x.count()) or compare(x, *a))
+    rnd, rows = random.Random(6), []
+    for i in range(60):  # of each base line one that is like it, and some just under the threshold
+        base = "".join(rnd.choice("abcdefghijklmno ") for _ in range(300))
+        for j, edits in enumerate((0, 3, 9, 10, 10, 11)):
+            x = list(base)
+            for p in rnd.sample(range(300), edits):
+                x[p] = "X"
+            rows.append((6 * i + j, "".join(x)))
+    want, _ = line_model(rows)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    assert sum(got[i] == want[i] for i in want) >= len(want) - 2
+    assert [n for x, n in exchanges.items() if x.startswith("shared-")] == [1, 1, 1]
+    assert pairs[1] < 60  # of the pairs that share keys
+
+
 def test_line_dedup_holds_no_shuffle_of_texts_while_sets_are_compared(spark, monkeypatch):
     def shuffles():
         files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
